@@ -1,8 +1,65 @@
-"""Corpus pipeline: quality rules, near-duplicates, secrets, mixing, packing, each over all that the stage before kept."""
+"""Corpus pipeline over documents: quality rules, near-duplicates, secrets, mixing, packing.
 
-STAGES = []
+Each stage works on all that the stage before kept, written as Parquet to the shared folder and read
+again. All stages but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from weftline.llm import common, minhash, mixing, packing, quality, secrets
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rule or the trees reject go."""
+    return quality.keep_good(docs, quality.fit(docs, common.table(spark, sf_dir, "labels")))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays, that of the smallest id; of rows with one id one stays."""
+    gone = common.save(minhash.near_duplicates(docs).where("not kept").select("doc_id").distinct(), "gone")
+    again = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 and doc_id is not null").select("doc_id")
+    kept = docs.join(gone, "doc_id", "left_anti")
+    again = common.save(again, "again")
+    if again.isEmpty():
+        return kept.select(docs.columns)
+    once = kept.join(again, "doc_id", "left_anti").select(docs.columns)
+    return once.unionByName(kept.join(again, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]))
+
+
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Owner-specific, live-looking credentials are replaced in the text; widely copied examples stay."""
+    return secrets.redact(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    taken = common.save(mixing.mix(docs).groupBy("doc_id").agg(F.max("copies").alias("_copies")), "taken").where("_copies > 0").withColumnRenamed("doc_id", "_id")
+    joined = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")))
+    return joined.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of at most 1024 tokens."""
+    return packing.pack(docs, packing.tokenizer_path())
+
+
+STAGES = [("quality rules", quality_rules), ("near-duplicates", near_duplicates), ("secret scans", secret_scans), ("mixing sources", mix_sources), ("packing", pack)]
+#: Trees, hashes and sampling have no SQL form; tests/llm/test_pipeline.py holds the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of sf_dir."""
+    docs = common.table(spark, sf_dir, "documents")
+    last = None
+    for i, (name, stage) in enumerate(STAGES):
+        out = stage(spark, docs, sf_dir)
+        if i == len(STAGES) - 1:
+            return out
+        docs, before = common.save(out, "stage"), last
+        common.drop(before)
+        last = docs
+    return docs

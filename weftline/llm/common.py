@@ -78,8 +78,8 @@ def remainder(column: str, n: int) -> Column:
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(0)) % n
 
 
-def text_slices(column: pa.Array, most: int = 1 << 20):
-    """Rows of a string column in runs of about `most` bytes: (first row, row after the last, bytes, offsets from 0). A null has no bytes."""
+def text_slices(column: pa.Array, most: int = 1 << 20, rows: int = 1 << 30):
+    """Rows of a string column in runs of about `most` bytes and at most `rows` rows: (first row, row after the last, bytes, offsets from 0). A null has no bytes."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = column.cast(pa.large_binary()).fill_null(b"")
@@ -91,5 +91,6 @@ def text_slices(column: pa.Array, most: int = 1 << 20):
     lo = 0
     while lo < len(column):
         hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + most, "right")) - 1)
+        hi = min(hi, lo + rows)
         yield lo, hi, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
         lo = hi
