@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weftline.functions.text import nfkc
 
@@ -54,7 +55,7 @@ def scored(nodes: DataFrame, query: str, types: list[str] | None = None, ascii_o
     return cols.withColumn("score", score(term, F.col("_n"), F.col("_i"), F.col("_p"), F.col("_t"))).drop("_n", "_i", "_p", "_t").where("score > 0")
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def nfkc_all(values: pd.Series) -> pd.Series:
     return values.map(lambda v: [normal(x) for x in v])
 
