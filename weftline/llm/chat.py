@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ready, table
-from .encoder import encoder
+from .encoder import byte_chars, encoder
 from .packing import tokenizer_path
 
 START, END = "<|im_start|>", "<|im_end|>"
@@ -155,9 +155,7 @@ def read_back(formatted: DataFrame, tokenizer: str) -> DataFrame:
 
 def token_bytes(enc) -> list[bytes]:
     """The bytes of each id of a byte-level vocabulary."""
-    # byte-level vocabularies show printable Latin-1 bytes as themselves and the rest as code points from 256 on
-    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
-    chars = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(shown))}
+    chars = byte_chars()
     out = [b""] * enc.size
     for token, i in enc.tok.get_vocab(with_added_tokens=True).items():
         out[i] = bytes(chars[c] for c in token) if all(c in chars for c in token) else token.encode()

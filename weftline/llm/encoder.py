@@ -1,26 +1,37 @@
-"""Token ids of many texts with a public tokenizer file, through a bounded cache of word-like pieces.
+"""Token ids of whole texts with a public byte-level BPE file in the tokenizers format.
 
-A byte-level BPE with the usual splitting pattern never joins text across a single space that has
-other than white space on both sides: the space opens the next token. Texts are cut there, and each
-piece is encoded once and remembered. The ids equal those of encoding the text as a whole.
+The file's vocabulary and merges run in the tiktoken library's engine, several times faster than in
+the tokenizers library, whenever the file is one that both treat alike: plain byte-level
+splitting and merges in the order of their ids. Any other file, and any text with a run too long
+for that engine, is encoded by the tokenizers library itself. The ids are the same either way.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from functools import lru_cache
 
 import numpy as np
 
-_SAFE = re.compile(r" (?<=\S )(?=\S)")
-_LINE = re.compile(r"\n(?<=\S\n)(?=\S)")
+#: How a byte-level pre-tokenizer with its own pattern splits (fixed value of the public tokenizer).
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: A piece longer than this goes to the tokenizers library.
+LONG = 20_000
+_RUN = re.compile(r"\S{%d}|\s{%d}" % (LONG, LONG))
+
+
+def byte_chars() -> dict[str, int]:
+    """The character that shows each byte in a byte-level vocabulary: printable Latin-1 as itself, the rest from code point 256 on."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+    return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(shown))}
 
 
 class Encoder:
     """encode(texts): for each text its ids, as bytes of `dtype`, little-endian."""
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -28,66 +39,33 @@ class Encoder:
         self.tok.encode_special_tokens = True
         self.size = self.tok.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
-        self.most = most
-        self.inner: dict[str, bytes] = {}  # pieces after a space
-        self.first: dict[str, bytes] = {}  # pieces at the start of a text or line
-        self._batch = getattr(self.tok, "encode_batch_fast", self.tok.encode_batch)
-
-    def _plain(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self._batch(texts, add_special_tokens=False)] if texts else []
-
-    def _learn(self, inner: list[str], first: list[str]) -> dict[tuple[bool, str], bytes]:
-        """Encode pieces that aren't known yet; the line ends inside them are cuts as well."""
-        jobs = [(True, p) for p in inner] + [(False, p) for p in first]
-        parts = [_LINE.split(p) for _, p in jobs]
-        todo: dict[tuple[bool, str], None] = {}
-        for (after, _), lines in zip(jobs, parts, strict=True):
-            for k, line in enumerate(lines):
-                key = (after and not k, line)
-                if line not in (self.inner if key[0] else self.first):
-                    todo[key] = None
-        todo[(False, "\n")] = None
-        got = dict(zip(todo, self._plain([" " * after + p for after, p in todo]), strict=True))
-        out = {}
-        for (after, p), lines in zip(jobs, parts, strict=True):
-            found = []
-            for k, line in enumerate(lines):
-                key = (after and not k, line)
-                found.append(got[key] if key in got else (self.inner if key[0] else self.first)[line])
-            out[(after, p)] = got[(False, "\n")].join(found)
-        for (after, p), v in [*got.items(), *out.items()]:
-            into = self.inner if after else self.first
-            if len(self.inner) + len(self.first) < self.most and len(p) <= 64:
-                into[p] = v
-        return out
+        self.engine = self._engine(path)
+
+    def _engine(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        model, split = spec["model"], spec.get("pre_tokenizer") or {}
+        plain = model.get("type") == "BPE" and not spec.get("normalizer") and split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True) and not model.get("dropout") and not model.get("ignore_merges")
+        if not plain:
+            return None
+        chars, special = byte_chars(), {a["content"] for a in spec.get("added_tokens", [])}
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        merged = [model["vocab"]["".join(p)] for p in pairs]
+        words = {t: i for t, i in model["vocab"].items() if t not in special}
+        if merged != sorted(merged) or len(words) != len(merged) + 256 or any(c not in chars for t in words for c in t):
+            return None
+        import tiktoken
+
+        return tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks={bytes(chars[c] for c in t): i for t, i in words.items()}, special_tokens={})
+
+    def _slow(self, text: str) -> bytes:
+        return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        rows, missing, heads = [], {}, {}
-        get, begin = self.inner.get, self.first.get
-        for t in texts:
-            if not t:
-                rows.append(((), ()))
-                continue
-            parts = t.split(" ")
-            found = list(map(get, parts))
-            found[0] = begin(parts[0])
-            if None in found:
-                new = [(k, parts[k]) for k, v in enumerate(found) if v is None]
-                if any(not p or p[0].isspace() or p[-1].isspace() for _, p in new):  # white space beside a space: cut with more care
-                    parts = _SAFE.split(t)
-                    found = list(map(get, parts))
-                    found[0] = begin(parts[0])
-                    new = [(k, parts[k]) for k, v in enumerate(found) if v is None]
-                for k, p in new:
-                    (missing if k else heads)[p] = None
-            rows.append((parts, found))
-        learnt = self._learn(list(missing), list(heads)) if missing or heads else {}
-        out = []
-        for parts, found in rows:
-            if None in found:
-                found = [learnt[(k > 0, parts[k])] if v is None else v for k, v in enumerate(found)]
-            out.append(b"".join(found))
-        return out
+        if self.engine is None:
+            return [self._slow(t or "") for t in texts]
+        fast, dtype = self.engine.encode_to_numpy, self.dtype
+        return [b"" if not t else self._slow(t) if len(t) >= LONG and _RUN.search(t) else fast(t, disallowed_special=()).astype(dtype).tobytes() for t in texts]
 
 
 @lru_cache(maxsize=2)
