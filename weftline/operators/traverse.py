@@ -145,19 +145,27 @@ def reach(edges: DataFrame, seeds: DataFrame, direction: str = "outgoing", types
     return seen
 
 
-def nearest(climb: DataFrame, hits: DataFrame, rounds: int = 100) -> DataFrame:
-    """(id, found, level): for each id of climb (id, parent) the hits (owner, found) at the fewest steps up. Cycles end."""
-    here = cut(climb.select("id", F.col("id").alias("at")).distinct().withColumn("level", F.lit(0)))
-    seen, out = here, None
+def nearest(climb: DataFrame, hits: DataFrame, starts: DataFrame | None = None, rounds: int = 100) -> DataFrame:
+    """The hits at the fewest steps up, for each start. Cycles end.
+
+    climb: id, parent; hits: owner, found and perhaps name; starts: id and, with names, name (a hit
+    must have the start's name). Without starts every id of climb is one. Gives the start's columns,
+    found and level.
+    """
+    starts = climb.select("id").distinct() if starts is None else starts
+    key = starts.columns
+    here = cut(starts.distinct().withColumn("at", F.col("id")).withColumn("level", F.lit(0)))
+    seen, out = here.select(*key, "at"), None
+    hits = hits.withColumnRenamed("owner", "at")
     for k in range(rounds + 1):
-        got = here.join(hits, here["at"] == hits["owner"]).select("id", "found", "level")
+        got = here.join(hits, ["at", *([c for c in key if c != "id"])]).select(*key, "found", "level")
         out = cut(got if out is None else out.unionByName(got))
-        open_ = here.join(out.select("id").distinct(), "id", "left_anti")
-        nxt = open_.join(climb.select(F.col("id").alias("at"), "parent"), "at").select("id", F.col("parent").alias("at")).where("at is not null").distinct()
-        here = cut(nxt.join(seen.select("id", "at"), ["id", "at"], "left_anti").withColumn("level", F.lit(k + 1)))
+        open_ = here.join(out.select(*key).distinct(), key, "left_anti")
+        nxt = open_.join(climb.select(F.col("id").alias("at"), "parent"), "at").select(*key, F.col("parent").alias("at")).where("at is not null").distinct()
+        here = cut(nxt.join(seen, [*key, "at"], "left_anti").withColumn("level", F.lit(k + 1)))
         if here.isEmpty():
             break
-        seen = cut(seen.unionByName(here))
+        seen = cut(seen.unionByName(here.select(*key, "at")))
     return out
 
 
