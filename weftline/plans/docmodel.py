@@ -39,7 +39,7 @@ def flows(edges: DataFrame, starts: DataFrame, ends: DataFrame, max_depth: int =
         grown = grown.withColumn("rk", F.row_number().over(w) + F.col("held")).withColumn("capped", F.col("capped") | (F.max("rk").over(W.partitionBy("start")) > max_states)).where(F.col("rk") <= max_states)
         grown = cut(grown.withColumn("held", F.max("rk").over(W.partitionBy("start"))).drop("rk"))
         parents = grown.select("start", F.slice("edges", 1, depth).alias("edges")).distinct()
-        ended = here.join(parents, ["start", "edges"], "left_anti").where("size(nodes) > 1" if depth else "true").select("start", "nodes", "edges", "capped", F.lit(False).alias("deep"))
+        ended = here.join(parents, ["start", "edges"], "left_anti").where("size(nodes) > 1").select("start", "nodes", "edges", "capped", F.lit(False).alias("deep"))
         done = cut(ended if done is None else done.unionByName(ended))
         level = grown
         if depth == max_depth or level.isEmpty():
@@ -116,7 +116,7 @@ def build(graph: Graph, facts: DataFrame | None = None, scope_query: str | None
     cases = cases.join(main.select("start", F.slice("nodes", 1, STEPS).alias("main_flow"), (F.col("truncated") | (F.size("nodes") > STEPS)).alias("flow_truncated")), "start", "left")
     for part in (sure, tables, ops, triggers, outcome):
         cases = cases.join(part, "start", "left")
-    cases = cut(cases.withColumns({"confidence": F.coalesce("confidence", F.lit(1.0)), "statements": none(F.col("statements"), "array<string>"), "use_cases_truncated": F.lit(all_routes > USE_CASES)}))
+    cases = cut(cases.withColumns({"confidence": F.coalesce("confidence", F.lit(1.0)), "main_flow": F.coalesce("main_flow", F.array("start")), "flow_truncated": F.coalesce("flow_truncated", F.lit(False)), "statements": none(F.col("statements"), "array<string>"), "use_cases_truncated": F.lit(all_routes > USE_CASES)}))
 
     on_page = asked.select(F.col("source").alias("id"), F.col("target").alias("route")).distinct()
     arrive = graph.edges.where(F.col("type").isin("forwards_to", "redirects_to") & F.col("target").startswith("page:")).select(F.col("target").alias("id"), F.col("source").alias("route")).distinct()
