@@ -1,6 +1,8 @@
 import hashlib
 import re
 
+from pyspark.sql import functions as F
+
 from weftline.llm import secrets as s
 
 BASE = [
@@ -37,12 +39,16 @@ def test_spans_match_regex(spark, tmp_path):
 
 
 def test_copied_and_live(spark):
-    rows = [(i, "password=Sample9Value7x end", f"s{i}", "en", 1) for i in range(6)] + [(10, f"ä token={HEX} z password=Sample9Value7x", "s1", "en", 1), (11, "clean", None, "en", 5)]
+    real = "9f3ac07b52e81d64" * 2  # HEX counts up like a placeholder
+    rows = [(i, "password=Sample9Value7x end", f"s{i}", "en", 1) for i in range(6)] + [(10, f"ä token={real} z password=Sample9Value7x", "s1", "en", 1), (11, "clean", None, "en", 5)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long")
     found = {r.doc_id: [(x.kind, x.verdict, x.n_owners) for x in r.spans] for r in s.find_secrets(df).collect()}
     assert found[0] == [("assign", "copied", 6)] and found[10] == [("assign", "live", 1), ("hex", "live", 1), ("assign", "copied", 6)]
     out = {r.doc_id: r for r in s.redact(df).collect()}
     assert out[10].text == "ä [SECRET] z password=Sample9Value7x" and out[10].n_chars == len(out[10].text)
+    assert s.find_secrets(df.withColumn("text", F.lit(f"token={HEX}"))).first().spans[0].verdict == "copied"
+    weak = s.find_secrets(df.where("doc_id = 11").withColumn("text", F.lit(f"token={HEX}"))).first().spans
+    assert {x.verdict for x in weak} == {"weak"}
     assert out[0].text == rows[0][1] and out[11].text == "clean" and s.redact(df).columns == df.columns
 
 

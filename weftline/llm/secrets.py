@@ -103,8 +103,10 @@ def redact(docs: DataFrame, verdicts: tuple[str, ...] = ("live",)) -> DataFrame:
         return F.when(s["start"] >= acc["at"], fresh).otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out")))
 
     done = F.aggregate("_cut", start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col("text"), acc["at"].cast("int") + 1, F.length("text"))))
-    text = F.when(F.col("_cut").isNotNull(), done).otherwise(F.col("text"))
-    new = {"text": text} | ({"n_chars": F.when(F.col("_cut").isNotNull(), F.length(text)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    hit = hit.withColumn("_new", F.when(F.col("_cut").isNotNull(), done).otherwise(F.col("text")))
+    new = {"text": F.col("_new")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("_cut").isNotNull(), F.length("_new")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
     return hit.select(*(new.get(c, F.col(c)).alias(c) for c in docs.columns))
 
 
