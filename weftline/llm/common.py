@@ -3,38 +3,18 @@
 from __future__ import annotations
 
 import atexit
-import os
-import tempfile
 import uuid
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ROOT = str(Path(__file__).resolve().parents[2])
-_SAVED: dict[str, SparkSession] = {}
+from weftline.functions.scratch import ready, shared_dir
 
+__all__ = ["drop", "ready", "remainder", "save", "shared_dir", "table", "text_slices"]
 
-def ready(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver imports it."""
-    env = spark.sparkContext.environment
-    if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where that is unset on one machine."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found
-    master = spark.sparkContext.master
-    if not (master == "local" or master.startswith("local[")):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-    own = "file://" + tempfile.mkdtemp(prefix="weft-shared-")
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
+_SAVED: dict[str, SparkSession] = {}
 
 
 def save(df: DataFrame, label: str) -> DataFrame:
