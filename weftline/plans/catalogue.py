@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weftline.functions import text as tx
+from weftline.functions.scratch import cut
 from weftline.operators import budget, match, merge, search, traverse
 from weftline.plans import star
 
@@ -119,8 +120,13 @@ _ALL = ("in_nation", "in_region", "placed_by", "contains", "supplied_by")
 _UP = ("in_nation", "in_region", "supplied_by")
 
 
+def _edges(spark, d, kinds=None):
+    """The star graph's edges, built once for the rounds of a traversal."""
+    return cut(star.edges(spark, d, kinds))
+
+
 def _trace(spark, d, start, direction, kinds, depth, paths, states):
-    return traverse.traverse(star.edges(spark, d, kinds), [start], direction, None, depth, paths, states)
+    return traverse.traverse(_edges(spark, d, kinds), [start], direction, None, depth, paths, states)
 
 
 def _paths(spark, t, whole_only=True):
@@ -171,19 +177,19 @@ def trace_depth_cap(spark, d):
 @query(f"""WITH RECURSIVE edges AS ({star.edges_sql()}), up AS (SELECT 'nation:3' AS id UNION SELECT e.source FROM up JOIN edges e ON e.target = up.id), down AS (SELECT 'nation:3' AS id UNION SELECT e.target FROM down JOIN edges e ON e.source = down.id)
   SELECT id, bool_or(u) AS upstream, bool_or(dn) AS downstream FROM (SELECT id, true AS u, false AS dn FROM up UNION ALL SELECT id, false, true FROM down) GROUP BY id""")
 def trace_split(spark, d):
-    e, seed = star.edges(spark, d), spark.createDataFrame([("nation:3",)], "id string")
+    e, seed = _edges(spark, d), spark.createDataFrame([("nation:3",)], "id string")
     both = traverse.reach(e, seed, "incoming").select("id", F.lit(True).alias("u"), F.lit(False).alias("dn")).unionByName(traverse.reach(e, seed, "outgoing").select("id", F.lit(False).alias("u"), F.lit(True).alias("dn")))
     return both.groupBy("id").agg(F.bool_or("u").alias("upstream"), F.bool_or("dn").alias("downstream"))
 
 
 @query(f"WITH RECURSIVE edges AS ({star.edges_sql()}), r AS (SELECT 'supplier:1' AS id, 0 AS level UNION SELECT e.source, r.level + 1 FROM r JOIN edges e ON e.target = r.id) SELECT id, CAST(min(level) AS INTEGER) AS level FROM r GROUP BY id")
 def reachability_reverse(spark, d):
-    return traverse.reach(star.edges(spark, d), spark.createDataFrame([("supplier:1",)], "id string"), "incoming")
+    return traverse.reach(_edges(spark, d), spark.createDataFrame([("supplier:1",)], "id string"), "incoming")
 
 
 @query(f"WITH RECURSIVE edges AS ({star.edges_sql()}), r AS (SELECT 'order:1' AS id, 0 AS level UNION SELECT e.target, r.level + 1 FROM r JOIN edges e ON e.source = r.id) SELECT id, CAST(min(level) AS INTEGER) AS level FROM r GROUP BY id")
 def reachability_forward(spark, d):
-    return traverse.reach(star.edges(spark, d), spark.createDataFrame([("order:1",)], "id string"), "outgoing")
+    return traverse.reach(_edges(spark, d), spark.createDataFrame([("order:1",)], "id string"), "outgoing")
 
 
 @query("""WITH paths AS (SELECT l_orderkey, l_linenumber AS rank, [l_partkey, l_suppkey] AS nodes FROM lineitem WHERE l_orderkey <= 500), f AS (SELECT l_orderkey, node, min(rank) AS rank FROM (SELECT l_orderkey, rank, unnest(nodes) AS node FROM paths) GROUP BY 1, 2)
@@ -200,7 +206,7 @@ def alternate_branches(spark, d):
 def inheritance_nearest_hit(spark, d):
     r = lambda t: star.read(spark, d, t)
     c, n, g = r("customer"), r("nation"), r("region")
-    e = star.edges(spark, d, ("in_nation", "in_region")).where("source not like 'supplier:%'")
+    e = _edges(spark, d, ("in_nation", "in_region")).where("source not like 'supplier:%'")
     climb = e.select(F.col("source").alias("id"), F.col("target").alias("parent"))
     hits = c.where("c_acctbal > 5000").select(star._id("customer", "c_custkey").alias("owner"), F.col("c_mktsegment").alias("found")).unionByName(n.where("n_nationkey % 2 = 0").select(star._id("nation", "n_nationkey").alias("owner"), F.col("n_name").alias("found"))).unionByName(g.where("r_regionkey % 2 = 1").select(star._id("region", "r_regionkey").alias("owner"), F.col("r_name").alias("found")))
     return traverse.nearest(climb, hits).where("id like 'customer:%'")
@@ -211,7 +217,7 @@ def inheritance_nearest_hit(spark, d):
   UNION ALL SELECT 'nation:' || CAST(s_nationkey AS VARCHAR), 'supplier:' || CAST(s_suppkey AS VARCHAR), 'p' FROM supplier
   UNION ALL SELECT 'region:' || CAST(n_regionkey AS VARCHAR), '', '' FROM supplier JOIN nation ON s_nationkey = n_nationkey)""")
 def context_propagation(spark, d):
-    e = star.edges(spark, d, ("in_nation", "in_region"))
+    e = _edges(spark, d, ("in_nation", "in_region"))
     seeds = star.read(spark, d, "supplier").select(star._id("supplier", "s_suppkey").alias("id"), star._id("supplier", "s_suppkey").alias("route"), F.lit("p").alias("page"))
     return traverse.contexts(e, seeds, ("in_region",))
 
