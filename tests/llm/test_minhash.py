@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from weftline.llm import minhash as m
 
 from . import brute
@@ -43,3 +45,12 @@ def test_shuffle_way(spark, monkeypatch):
     monkeypatch.setattr(m, "SEND_ROWS", -1)
     texts = {i: f"one two three four five six {i // 3} " * 3 for i in range(30)}
     check(m.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")), texts)
+
+
+def test_parity_sketch_never_exceeds_the_difference():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 150, 3000):
+        a = rng.integers(0, 1 << 63, n).astype(np.uint64)
+        b = np.concatenate([a[: n // 2], rng.integers(0, 1 << 63, n // 3).astype(np.uint64)])
+        off = int(np.bitwise_count((m.parity(a) ^ m.parity(b)).view(np.uint64)).sum())
+        assert off <= len(set(a.tolist()) ^ set(b.tolist()))

@@ -22,11 +22,10 @@ def connected_components(links: DataFrame, src: str = "src", dst: str = "dst", r
     for _ in range(rounds if seen[0] else 0):
         both = edges.select(F.col("u").alias("x"), F.col("v").alias("y")).unionAll(edges.select(F.col("v").alias("x"), F.col("u").alias("y")))
         least = both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"))
-        large = save(both.where("y > x").join(least, "x").select(F.col("y").alias("v"), F.col("m").alias("u")).distinct(), "large")
+        large = both.where("y > x").join(least, "x").select(F.col("y").alias("v"), F.col("m").alias("u"))
         low = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(low, "v").where("u <> m").select(F.col("u").alias("v"), F.col("m").alias("u")).unionAll(low.select("v", F.col("m").alias("u")))
         nxt = save(small.distinct(), "edges")
-        drop(large)
         drop(edges)
         edges, now = nxt, mark(nxt)
         if now == seen:

@@ -4,17 +4,22 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textvec as tv
 from .common import ready, save, table, text_slices
 from .components import connected_components
 
-#: 25 bands of 5 minima find a pair of similarity 0.85 with probability 1 - 4e-7; one bit of each of 128 minima is the signature.
+#: 25 bands of 5 minima find a pair of similarity 0.85 with probability 1 - 4e-7; two bits of each of 128 minima are the signature.
 BANDS, ROWS, HASHES = 25, 5, 128
-#: Signature bits that may differ. At similarity 0.85 about 10 of 128 do; more than 32 have a probability below 1e-8.
-BITS_OFF = 32
+#: Minima whose two bits may differ. At similarity 0.85 about 14 of 128 do; more than 36 have a probability of 5e-8.
+MINIMA_OFF = 36
+#: Rounds in which the members outside a bucket's largest component meet a member of it that a hash picks.
+PIVOT_ROUNDS = 1
+SIGNATURE = ("s1", "s2", "s3", "s4")
+#: Words of 64 bits in a parity sketch, which bounds how much two sets differ.
+PARITY = 32
 #: A table of ids or keys up to this many rows is sent to all executors; a larger one is joined by shuffle.
 SEND_ROWS = 500_000
 
@@ -42,12 +47,13 @@ def signatures(w: tv.Words) -> dict[str, np.ndarray]:
     keys = np.empty((n, BANDS), np.uint64)
     for k in range(BANDS):
         keys[:, k] = tv.mix((least[:, k * ROWS : (k + 1) * ROWS] * _FOLD).sum(1, dtype=np.uint64) + np.uint64(k + 1))
-    bits = np.packbits((least & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64)
-    return {"n": count, "d1": d1.view(np.int64), "d2": d2.view(np.int64), "b1": bits[:, 0], "b2": bits[:, 1], "keys": keys.view(np.int64)}
+    planes = [np.packbits((least >> np.uint64(k) & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64) for k in (0, 1)]
+    bits = {name: planes[k // 2][:, k % 2] for k, name in enumerate(SIGNATURE)}
+    return {"n": count, "d1": d1.view(np.int64), "d2": d2.view(np.int64)} | bits | {"keys": keys.view(np.int64)}
 
 
 def _features(docs: DataFrame) -> DataFrame:
-    names = ["doc_id", "n", "d1", "d2", "b1", "b2", "keys"]
+    names = ["doc_id", "n", "d1", "d2", *SIGNATURE, "keys"]
 
     def run(batches):
         for b in batches:
@@ -57,22 +63,30 @@ def _features(docs: DataFrame) -> DataFrame:
                 keys = pa.ListArray.from_arrays(pa.array(np.arange(0, (hi - lo + 1) * BANDS, BANDS, dtype=np.int32)), pa.array(s["keys"].ravel()))
                 yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), *(pa.array(np.ascontiguousarray(s[k])) for k in names[1:-1]), keys], names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, d1 long, d2 long, b1 long, b2 long, keys array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, d1 long, d2 long, " + ", ".join(f"{c} long" for c in SIGNATURE) + ", keys array<long>")
+
+
+def parity(own: np.ndarray) -> np.ndarray:
+    """Parity sketch of a set: each element flips one bit. Sketches differ in no more bits than the sets have elements of one of them only."""
+    at = (tv.mix(own ^ np.uint64(0x2127599BF4325C37)) >> np.uint64(64 - (64 * PARITY).bit_length() + 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=64 * PARITY) & 1).astype(np.uint8)).view(np.int64)
 
 
 def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Whole shingle sets of the documents that ids names."""
+    """Whole shingle sets of the documents that ids names, and their parity sketches."""
 
     def run(batches):
         for b in batches:
             ids = b.column("doc_id")
             for lo, hi, data, offs in text_slices(b.column("text")):
                 values, at = tv.shingles(tv.words(data, offs))
-                own = [np.unique(values[at[i] : at[i + 1]]).view(np.int64) for i in range(hi - lo)]
+                own = [np.unique(values[at[i] : at[i + 1]]) for i in range(hi - lo)]
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(own)))], names=["doc_id", "shingles"])
+                odd = np.concatenate([parity(x) for x in own])
+                rows = np.arange(0, len(odd) + 1, PARITY, dtype=np.int32)
+                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(own).view(np.int64))), pa.ListArray.from_arrays(pa.array(rows), pa.array(odd))], names=["doc_id", "shingles", "odd"])
 
-    return docs.select("doc_id", "text").join(_sent(ids), "doc_id", "left_semi").mapInArrow(run, "doc_id long, shingles array<long>")
+    return docs.select("doc_id", "text").join(_sent(ids), "doc_id", "left_semi").mapInArrow(run, "doc_id long, shingles array<long>, odd array<long>")
 
 
 def _sent(df: DataFrame) -> DataFrame:
@@ -80,23 +94,45 @@ def _sent(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= SEND_ROWS else df
 
 
-def _confirmed(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+def _sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    return save(_sets(docs, save(ids.distinct(), "ids")), "sets")
+
+
+def _confirmed(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole shingle sets are similar enough."""
-    ids = save(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
-    sets = save(_sets(docs, ids), "sets")
     left, right = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
     return pairs.join(left, "a").join(right, "b").where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
 
+def _alike(x: str, y: str, percent: int) -> Column:
+    """Whether sizes and signatures of the columns with prefixes x and y allow the similarity; at that similarity a minimum's two bits differ with probability 0.1125."""
+    size = 100 * F.least(f"{x}n", f"{y}n") >= percent * F.greatest(f"{x}n", f"{y}n")
+    off = [F.col(f"{x}{c}").bitwiseXOR(F.col(f"{y}{c}")) for c in SIGNATURE]
+    return size & (F.bit_count(off[0].bitwiseOR(off[2])) + F.bit_count(off[1].bitwiseOR(off[3])) <= MINIMA_OFF)
+
+
+def _may_link(x: str, y: str, percent: int) -> Column:
+    """Whether the parity sketches allow a link. A link has at most (100 - percent) / (100 + percent) of both sizes in one set only, so this loses none."""
+    off = sum((F.bit_count(F.col(f"{x}o{i}").bitwiseXOR(F.col(f"{y}o{i}"))) for i in range(PARITY)), F.lit(0))
+    return off * (100 + percent) <= (F.col(f"{x}n") + F.col(f"{y}n")) * (100 - percent)
+
+
+def _prefixed(df: DataFrame, prefix: str, keep: tuple[str, ...] = ("key",)) -> DataFrame:
+    return df.select(*(F.col(c) if c in keep else F.col(c).alias(prefix + c) for c in df.columns))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
     Documents are linked when 100 * |A & B| >= percent * |A | B| over their sets of 3-word shingles.
-    Equal sets are merged first, so copies cost one row. In each band, members are compared with the
-    band's smallest id; what these links already join needs no more comparing. Only members outside
-    a bucket's largest component are compared with the rest of the bucket, so no bucket emits all
-    its pairs and no link between different components is lost. A pair is looked at only if its set
+    Equal sets are merged first, so copies cost one row. In each bucket, members are compared with the
+    bucket's smallest id; what these links already join needs no more comparing. Then members
+    outside a bucket's largest component meet one of its members, which a hash picks anew in each
+    bucket; most of a large group is joined by that. Only members that are still outside
+    are compared with the rest of their bucket, inside the join, by signatures and by parity sketches
+    that bound the sets' difference; so no bucket emits all its pairs and no link between different
+    components is lost. A pair is looked at only if its set
     sizes and signature bits allow the similarity, and every link is confirmed on the whole sets.
     A null or empty text has no set and stays alone; so does a null doc_id, which is always kept.
     Rows that repeat a doc_id get that id's result each. An empty table gives no rows.
@@ -108,28 +144,39 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     classes = real.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
     member = save(real.select("doc_id", "n", "d1", "d2").join(classes, ["d1", "d2"]).select("doc_id", "n", "rep"), "member")
     reps = member.where("doc_id = rep").select("rep").distinct()
-    bands = real.join(reps, real["doc_id"] == reps["rep"], "left_semi").select(F.col("doc_id").alias("a"), "n", "b1", "b2", F.explode("keys").alias("key"))
-    shared = save(bands.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("a", "n", "b1", "b2")).alias("p")).where("c > 1").select("key", F.col("p.a").alias("b"), F.col("p.n").alias("pn"), F.col("p.b1").alias("p1"), F.col("p.b2").alias("p2")), "shared")
-    bucket = save(bands.join(_sent(shared), "key"), "bucket")
-
-    def alike(n1, n2, x1, x2, y1, y2):
-        size = (100 * F.least(n1, n2) >= percent * F.greatest(n1, n2))
-        return size & (F.bit_count(F.col(x1).bitwiseXOR(F.col(y1))) + F.bit_count(F.col(x2).bitwiseXOR(F.col(y2))) <= BITS_OFF)
+    own = ("a", "n", *SIGNATURE)
+    bands = real.join(reps, real["doc_id"] == reps["rep"], "left_semi").select(F.col("doc_id").alias("a"), "n", *SIGNATURE, F.explode("keys").alias("key"))
+    shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(*own)).alias("p")).where("c > 1").select("key", *(F.col(f"p.{c}").alias(f"p_{c}") for c in own))
+    bucket = save(bands.join(_sent(save(shared, "shared")), "key"), "bucket")
 
-    first = save(bucket.where("a <> b").where(alike("n", "pn", "b1", "b2", "p1", "p2")).select("a", "b").distinct(), "pairs")
-    links = save(_confirmed(docs, first, percent), "links")
+    first = save(bucket.where("a <> p_a").where(_alike("", "p_", percent)).select("a", F.col("p_a").alias("b")).distinct(), "pairs")
+    links = save(_confirmed(_sets_of(docs, first.select(F.explode(F.array("a", "b")).alias("doc_id"))), first, percent), "links")
     label = save(connected_components(links, "a", "b"), "label")
-
-    named = save(bucket.join(label, bucket["a"] == label["node"], "left").select("key", "a", "b", "n", "b1", "b2", F.coalesce("root", "a").alias("comp")), "named")
-    mixed = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    torn = save(named.join(mixed, "key", "left_semi"), "torn")
-    major = torn.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("major"))
-    stray = torn.join(major, "key").where("comp <> major").select("key", *(F.col(c).alias(f"x_{c}") for c in ("a", "b", "n", "b1", "b2", "comp")))
-    near = stray.join(torn, (stray["key"] == torn["key"]) & (F.col("x_comp") != F.col("comp")) & (F.col("x_a") != F.col("b")) & (F.col("a") != F.col("b")) & alike("n", "x_n", "b1", "b2", "x_b1", "x_b2"))
-    second = save(near.select(F.greatest("a", "x_a").alias("a"), F.least("a", "x_a").alias("b")).distinct(), "pairs")
-    if not second.isEmpty():
-        links = save(links.unionAll(_confirmed(docs, second, percent)), "links")
-        label = save(connected_components(links, "a", "b"), "label")
+    bucket = bucket.select("key", *own)
+
+    sets = None
+    for k in range(PIVOT_ROUNDS + 1):
+        named = bucket.join(label, bucket["a"] == label["node"], "left").select("key", *own, F.coalesce("root", "a").alias("comp"))
+        mixed = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+        torn = save(named.join(mixed, "key", "left_semi"), "torn")
+        if torn.isEmpty():
+            break
+        sets = _sets_of(docs, torn.select(F.col("a").alias("doc_id"))) if sets is None else sets
+        held = torn.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"), F.min_by(F.struct(*own), F.xxhash64("a", "key", F.lit(k))).alias("p"))
+        major = held.groupBy("key").agg(F.max_by(F.struct("comp", "p"), F.struct("c", "comp")).alias("m")).select("key", F.col("m.comp").alias("p_comp"), *(F.col(f"m.p.{c}").alias(f"p_{c}") for c in own))
+        stray = torn.join(major, "key").where("comp <> p_comp")
+        if k < PIVOT_ROUNDS:
+            near = stray.where(_alike("", "p_", percent)).select(F.greatest("a", "p_a").alias("a"), F.least("a", "p_a").alias("b"))
+        else:
+            odd = sets.select(F.col("doc_id").alias("a"), *(F.get("odd", F.lit(i)).alias(f"o{i}") for i in range(PARITY)))
+            x = _prefixed(stray.select("key", *own, "comp").join(odd, "a"), "x_")
+            near = x.join(torn.join(odd, "a"), "key").where((F.col("x_comp") != F.col("comp")) & _alike("", "x_", percent) & _may_link("", "x_", percent)).select(F.greatest("a", "x_a").alias("a"), F.least("a", "x_a").alias("b"))
+        pairs = save(near.distinct(), "pairs")
+        more = save(_confirmed(sets, pairs, percent), "links")
+        bucket = torn.select("key", *own)
+        if not more.isEmpty():
+            links = links.unionAll(more)
+            label = save(connected_components(links, "a", "b"), "label")
 
     found = member.join(label, member["rep"] == label["node"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "rep").alias("component_id"))
     alone = feats.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
