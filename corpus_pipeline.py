@@ -37,7 +37,7 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
     taken = common.save(mixing.mix(docs).groupBy("doc_id").agg(F.max("copies").alias("_copies")), "taken").where("_copies > 0").withColumnRenamed("doc_id", "_id")
-    joined = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")))
+    joined = docs.join(common.sent(taken), F.col("doc_id").eqNullSafe(F.col("_id")))
     return joined.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(docs.columns)
 
 

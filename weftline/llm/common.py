@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.scratch import ready, shared_dir
 
-__all__ = ["drop", "ready", "remainder", "save", "shared_dir", "table", "text_slices"]
+__all__ = ["drop", "ready", "remainder", "save", "sent", "shared_dir", "table", "text_slices"]
 
 _SAVED: dict[str, SparkSession] = {}
 
@@ -28,6 +28,15 @@ def save(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+#: A saved table up to this many rows is sent to all executors; a larger one is joined by shuffle.
+SEND_ROWS = 500_000
+
+
+def sent(df: DataFrame) -> DataFrame:
+    """A saved table of slim rows, marked for sending to all executors if its rows, which are counted first, are few."""
+    return F.broadcast(df) if df.count() <= SEND_ROWS else df
+
+
 def drop(df: DataFrame | None) -> None:
     """Delete a saved table that nothing reads any more."""
     if df is not None and (path := getattr(df, "_weft_path", None)):
