@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 
+from weftline.llm import common
 from weftline.llm import minhash as m
 
 from . import brute
@@ -42,7 +43,7 @@ def test_documents(spark):
 
 
 def test_shuffle_way(spark, monkeypatch):
-    monkeypatch.setattr(m, "SEND_ROWS", -1)
+    monkeypatch.setattr(common, "SEND_ROWS", -1)
     texts = {i: f"one two three four five six {i // 3} " * 3 for i in range(30)}
     check(m.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")), texts)
 

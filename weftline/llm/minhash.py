@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import ready, save, table, text_slices
+from .common import ready, save, sent, table, text_slices
 from .components import connected_components
 
 #: 25 bands of 5 minima find a pair of similarity 0.85 with probability 1 - 4e-7; two bits of each of 128 minima are the signature.
@@ -20,8 +20,6 @@ PIVOT_ROUNDS = 1
 SIGNATURE = ("s1", "s2", "s3", "s4")
 #: Words of 64 bits in a parity sketch, which bounds how much two sets differ.
 PARITY = 32
-#: A table of ids or keys up to this many rows is sent to all executors; a larger one is joined by shuffle.
-SEND_ROWS = 500_000
 
 _MUL, _ADD = tv.stream(HASHES, 11) | np.uint64(1), tv.stream(HASHES, 12)
 _FOLD = tv.stream(ROWS, 13) | np.uint64(1)
@@ -86,12 +84,7 @@ def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
                 rows = np.arange(0, len(odd) + 1, PARITY, dtype=np.int32)
                 yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(own).view(np.int64))), pa.ListArray.from_arrays(pa.array(rows), pa.array(odd))], names=["doc_id", "shingles", "odd"])
 
-    return docs.select("doc_id", "text").join(_sent(ids), "doc_id", "left_semi").mapInArrow(run, "doc_id long, shingles array<long>, odd array<long>")
-
-
-def _sent(df: DataFrame) -> DataFrame:
-    """A saved table, marked for sending to all executors if it is small."""
-    return F.broadcast(df) if df.count() <= SEND_ROWS else df
+    return docs.select("doc_id", "text").join(sent(ids), "doc_id", "left_semi").mapInArrow(run, "doc_id long, shingles array<long>, odd array<long>")
 
 
 def _sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -147,7 +140,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     own = ("a", "n", *SIGNATURE)
     bands = real.join(reps, real["doc_id"] == reps["rep"], "left_semi").select(F.col("doc_id").alias("a"), "n", *SIGNATURE, F.explode("keys").alias("key"))
     shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(*own)).alias("p")).where("c > 1").select("key", *(F.col(f"p.{c}").alias(f"p_{c}") for c in own))
-    bucket = save(bands.join(_sent(save(shared, "shared")), "key"), "bucket")
+    bucket = save(bands.join(sent(save(shared, "shared")), "key"), "bucket")
 
     first = save(bucket.where("a <> p_a").where(_alike("", "p_", percent)).select("a", F.col("p_a").alias("b")).distinct(), "pairs")
     links = save(_confirmed(_sets_of(docs, first.select(F.explode(F.array("a", "b")).alias("doc_id"))), first, percent), "links")
