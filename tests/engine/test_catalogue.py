@@ -1,5 +1,6 @@
 """Catalogue queries over whole tables, held against brute force."""
 
+from weftline.operators import budget
 from weftline.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -18,3 +19,22 @@ def test_alternate_branches_of_all_orders(spark):
                 want += [(key, rank)] * len(level)
             seen |= shown
     assert sorted((r.l_orderkey, r.rank) for r in catalogue.alternate_branches(spark, SF).collect()) == sorted(want)
+
+
+def test_diagnostics_order_places_every_event(spark):
+    events = spark.read.parquet(f"{SF}/events.parquet").select("event_type", "user_id", "event_id").collect()
+    want = [(r.event_id, r.event_type, i + 1) for i, r in enumerate(sorted(events))]
+    assert len(want) > 200
+    got = [tuple(r) for r in catalogue.diagnostics_order(spark, SF).collect()]
+    assert sorted(got, key=lambda r: r[2]) == want
+
+
+def test_positions_over_many_parts(spark):
+    rows = spark.range(5000).selectExpr("id * 7919 % 5000 AS k", "id % 3 AS g")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        placed = budget.positions(rows, ["g", "k"]).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert [(r.g, r.k) for r in sorted(placed, key=lambda r: r.position)] == sorted((r.g, r.k) for r in placed)
+    assert sorted(r.position for r in placed) == list(range(1, 5001))

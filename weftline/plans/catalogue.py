@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weftline.functions import text as tx
@@ -475,8 +474,8 @@ def status_counts(spark, d):
 
 @query("SELECT event_id, event_type, CAST(row_number() OVER (ORDER BY event_type, user_id, event_id) AS INTEGER) AS position FROM events WHERE event_id % 10 = 0 ORDER BY position LIMIT 200")
 def diagnostics_order(spark, d):
-    top = star.read(spark, d, "events").where("event_id % 10 = 0").orderBy("event_type", "user_id", "event_id").limit(200)
-    return top.select("event_id", "event_type", F.row_number().over(W.orderBy("event_type", "user_id", "event_id")).alias("position"))
+    placed = budget.positions(star.read(spark, d, "events").select("event_id", "event_type", "user_id"), ["event_type", "user_id", "event_id"])
+    return placed.select("event_id", "event_type", F.col("position").cast("int").alias("position"))
 
 
 @query("SELECT median(l_extendedprice) AS median_price, max(l_quantity) / min(l_quantity) AS ratio FROM lineitem")
