@@ -38,3 +38,11 @@ def test_positions_over_many_parts(spark):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert [(r.g, r.k) for r in sorted(placed, key=lambda r: r.position)] == sorted((r.g, r.k) for r in placed)
     assert sorted(r.position for r in placed) == list(range(1, 5001))
+
+
+def test_citations_validate_keeps_every_document(spark, tmp_path):
+    texts = {1: "a\r\nb\r\nc", 2: "a\rb", 3: "", 4: None, 5: "a\n\r\n\rb\n", 6: "one", 41: "", 42: None}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.lines, r.cited, r.valid) for r in catalogue.citations_validate(spark, str(tmp_path)).collect()}
+    lines = {1: 3, 2: 2, 3: 1, 4: 0, 5: 5, 6: 1, 41: 1, 42: 0}
+    assert got == {i: (n, i % 40, 1 <= i % 40 <= n) for i, n in lines.items()}

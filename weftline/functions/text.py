@@ -187,4 +187,5 @@ def citations(text: Column) -> Column:
 
 
 def line_count(text: Column) -> Column:
-    return F.when(text == "", 0).otherwise(F.size(F.split(text, r"\r\n|\r|\n", -1)))
+    """Line ends (CR, LF or CRLF) and one, so an empty text has one line; a null text has none."""
+    return F.coalesce(F.when(text.isNotNull(), F.size(F.split(text, r"\r\n|\r|\n", -1))), F.lit(0))

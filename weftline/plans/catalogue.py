@@ -401,7 +401,7 @@ def citations_extract(spark, d):
 @query("SELECT d.doc_id, len(string_split(text, chr(10))) AS lines, d.doc_id % 40 AS cited, d.doc_id % 40 BETWEEN 1 AND len(string_split(text, chr(10))) AS valid FROM documents d WHERE text <> '' AND NOT contains(text, chr(13))")
 def citations_validate(spark, d):
     n = tx.line_count(F.col("text")).cast("long")
-    return star.read(spark, d, "documents").where("text <> '' and not contains(text, '\r')").select("doc_id", n.alias("lines"), (F.col("doc_id") % 40).alias("cited"), (F.col("doc_id") % 40).between(1, n).alias("valid"))
+    return star.read(spark, d, "documents").select("doc_id", n.alias("lines"), (F.col("doc_id") % 40).alias("cited"), (F.col("doc_id") % 40).between(1, n).alias("valid"))
 
 
 @query("SELECT doc_id, source, CAST(bytes AS BIGINT) AS bytes FROM (SELECT doc_id, source, sum(strlen(text) + 1) OVER (PARTITION BY source ORDER BY doc_id) AS bytes FROM documents) WHERE bytes <= 20000")
