@@ -19,15 +19,21 @@ class Kind:
     least: int  # its least length
 
 
+#: A private key reaches to its END line or, without one, over the base64 run after the header: lines of 16 characters or more and a shorter last one, with what stands between them. Possessive groups run in a loop, so a long key needs no stack.
+_BEGIN, _END = r"-----BEGIN [A-Z ]*PRIVATE KEY-----", r"-----END [A-Z ]*PRIVATE KEY-----"
+_GAP = r"(?:\\[nrt]|[^A-Za-z0-9+/=\\-])"
+_RUN = rf"(?:(?:\s*+[A-Z][A-Za-z-]*+:\x20[^\r\n]*+)*+(?:{_GAP}*+[A-Za-z0-9+/]{{16,}}+=*+)++(?:{_GAP}++[A-Za-z0-9+/]++=*+(?=[\x20\t]*+(?:[\r\n\"'\\]|$)))?+)?+"
+#: What a private key's body has beside its characters; copies of a key may differ in that.
+_BODY_GAP = r"\\[nrt]|[^A-Za-z0-9+/=]"
 #: Base kinds in their order, then those that this method adds.
 KINDS = (
     Kind("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
     Kind("access", r"AKIA[A-Z0-9]+", 0, 16),
     Kind("hex", r"[0-9a-f]{32,}", 0, 32),
     Kind("vendor", r"(?:gh[opsu]_|glpat-|xox[abps]-)[A-Za-z0-9_-]{16,}", 0, 20),
-    Kind("private", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1),
+    Kind("private", _BEGIN + rf"((?:[^-]|-(?!----))*+(?={_END})|{_RUN})(?:{_END})?", 1, 0),
 )
-BASE = 3
+BASE, PRIVATE = 3, 4
 _ANY = r"(?i:password|passwd|secret|token|api_?key)|AKIA|[0-9a-f]{32}|gh[opsu]_|glpat-|xox[abps]-|-----BEGIN "
 #: A credential found with at least this many owners is a copied example.
 COPIED_OWNERS = 4
@@ -46,7 +52,8 @@ def scan(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
     """The rows of docs without their text, with a row_id; and one row per span: row_id, ord, start, end (code points), value_hash, looks_live.
 
     Matches of a kind are leftmost and don't overlap; those with a short credential are dropped. A null
-    text is empty. The credential itself is not kept, only its hash.
+    text is empty. The credential itself is not kept, only its hash; a private key's is that of its body.
+    A header without a body holds no key and doesn't look live.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     found = F.when(t.rlike(_ANY), F.filter(F.array(*(_hits(t, k, i) for i, k in enumerate(KINDS))), lambda h: F.size(h["hits"]) > 0))
@@ -55,9 +62,10 @@ def scan(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
     before = W.partitionBy("row_id", "ord").orderBy("pos")
     ends = F.sum(F.col("gap") + F.col("len")).over(before)
     least = F.coalesce(*(F.when(F.col("ord") == i, F.lit(k.least)) for i, k in enumerate(KINDS)))
-    spans = hits.select("row_id", "ord", (ends - F.col("len")).alias("start"), ends.alias("end"), "value").where(F.length("value") >= least)
+    value = F.when(F.col("ord") == PRIVATE, F.regexp_replace("value", _BODY_GAP, "")).otherwise(F.col("value"))
+    spans = hits.select("row_id", "ord", (ends - F.col("len")).alias("start"), ends.alias("end"), value.alias("value")).where(F.length("value") >= least)
     varied = F.size(F.array_distinct(F.split("value", ""))) >= 8
-    live = (varied & F.col("value").rlike("[0-9]") & ~F.lower("value").rlike("example|changeme|your_?|placeholder|xxxx|1234567")) | (F.col("ord") == 4)
+    live = (varied & F.col("value").rlike("[0-9]") & ~F.lower("value").rlike("example|changeme|your_?|placeholder|xxxx|1234567")) | ((F.col("ord") == PRIVATE) & (F.col("value") != ""))
     return rows.drop("_found"), spans.select("row_id", "ord", "start", "end", F.sha2(F.col("value").cast("binary"), 256).alias("value_hash"), live.alias("looks_live"))
 
 
