@@ -1,5 +1,7 @@
 """Catalogue queries over whole tables, held against brute force."""
 
+import re
+
 from weftline.operators import budget
 from weftline.plans import catalogue
 
@@ -46,3 +48,11 @@ def test_citations_validate_keeps_every_document(spark, tmp_path):
     got = {r.doc_id: (r.lines, r.cited, r.valid) for r in catalogue.citations_validate(spark, str(tmp_path)).collect()}
     lines = {1: 3, 2: 2, 3: 1, 4: 0, 5: 5, 6: 1, 41: 1, 42: 0}
     assert got == {i: (n, i % 40, 1 <= i % 40 <= n) for i, n in lines.items()}
+
+
+def test_prefix_route_match_takes_patterns_of_all_pages(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url").collect()
+    url = {r.page_id: re.sub(r"^[a-z]+://[^/]+|[?#].*$", "", r.url) for r in pages}
+    firsts = {re.match("(/[^/]*)?", u)[0] + "/*" for u in url.values()}
+    want = {(i, u, u) for i, u in url.items() if not u.endswith("*")} | {(i, u, p) for i, u in url.items() for p in firsts if u.startswith(p[:-1]) or u + "/*" == p}
+    assert {tuple(r) for r in catalogue.prefix_route_match(spark, SF).select("page_id", "url", "pattern").collect()} == want
