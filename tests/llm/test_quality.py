@@ -6,6 +6,8 @@ import pyarrow as pa
 
 from weftline.llm import quality as q
 
+from . import brute as plain
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -18,7 +20,8 @@ def brute(text):
     return {"n_words": len(w), "word_chars": sum(map(len, w)), "n_symbols": len(re.findall(r"[#*$%&|<>]", text)), "n_dup_lines": len(lines) - len(set(lines)), "n_repeat_words": len(inside)}
 
 
-TEXTS = [None, "", " \n\t ", "a", "a b c a b c", "x " * 200, "é ß|é\né ß|é\n\n \n", "one\x1ctwo three\x0bfour", "w" * 300_000 + " tail", "# * $ % & | < >", "a b a b a b a", "line one\nline one \nline one\n"]
+REGULAR = [x for n in (1024, 2048, 4096, 8192) for a, b in [plain.thue_morse(n)] for x in (f"{a} x y {b} x y", f"{a} x y {a} x y")]
+TEXTS = [*REGULAR, None, "", " \n\t ", "a", "a b c a b c", "x " * 200, "é ß|é\né ß|é\n\n \n", "one\x1ctwo three\x0bfour", "w" * 300_000 + " tail", "# * $ % & | < >", "a b a b a b a", "line one\nline one \nline one\n"]
 
 
 def test_counts_match_brute_force():
@@ -40,13 +43,13 @@ def test_trees_learn_and_stay_monotone():
 
 
 def test_query(spark, tmp_path):
-    docs = spark.createDataFrame([(i, t, 7) for i, t in enumerate(TEXTS)] + [(1, "", 8), (None, "x y", 9)], "doc_id long, text string, score int")
+    docs = spark.createDataFrame([(i, t, 7) for i, t in enumerate(TEXTS)] + [(1000, "", 8), (None, "x y", 9)], "doc_id long, text string, score int")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     rows = q.op1_quality_rules(spark, str(tmp_path)).collect()
     assert len(rows) == len(TEXTS) + 2
     by = {r.doc_id: r for r in rows}
-    assert by[5].base_failed and not by[5].kept and by[0].n_words == 0 and not by[0].kept
+    assert by[TEXTS.index("x " * 200)].base_failed and not by[TEXTS.index("x " * 200)].kept and by[TEXTS.index(None)].n_words == 0 and not by[TEXTS.index(None)].kept
     assert q.score_documents(docs.limit(0), None).count() == 0
     kept = q.keep_good(docs, None)
     assert kept.columns == docs.columns

@@ -44,7 +44,7 @@ def _dup_lines(text: bytes) -> int:
 def _repeat_words(w: tv.Words) -> np.ndarray:
     """Words of each text inside a 3-word window that the text holds twice or more."""
     n = len(w.counts)
-    keys, at = tv.triples(w)
+    keys, at = tv.windows(w)
     if not len(keys):
         return np.zeros(n, np.int64)
     text = w.text_of
