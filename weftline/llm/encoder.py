@@ -11,7 +11,7 @@ from __future__ import annotations
 import json
 import os
 import re
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 
@@ -28,22 +28,32 @@ def byte_chars() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(shown))}
 
 
+def id_type(size: int) -> np.dtype:
+    """The narrowest type for ids below `size`."""
+    return np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
+
+
 class Encoder:
-    """encode(texts): for each text its ids, as bytes of `dtype`, little-endian."""
+    """encode(texts): for each text its ids, as bytes of `dtype`, little-endian. The tokenizers library loads its own form of the file only for a text that needs it."""
 
     def __init__(self, path: str):
+        self.path = path
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.size = 1 + max([*spec["model"]["vocab"].values(), *(a["id"] for a in spec.get("added_tokens", []))], default=-1)
+        self.dtype = id_type(self.size)
+        self.engine = self._engine(spec)
+
+    @cached_property
+    def tok(self):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
-        self.size = self.tok.get_vocab_size(with_added_tokens=True)
-        self.dtype = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
-        self.engine = self._engine(path)
+        tok = Tokenizer.from_file(self.path)
+        tok.encode_special_tokens = True
+        return tok
 
-    def _engine(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+    def _engine(self, spec: dict):
         model, split = spec["model"], spec.get("pre_tokenizer") or {}
         plain = model.get("type") == "BPE" and not spec.get("normalizer") and split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True) and not model.get("dropout") and not model.get("ignore_merges")
         if not plain:
