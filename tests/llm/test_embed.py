@@ -46,3 +46,40 @@ def test_query(spark, monkeypatch):
     assert all(got[i].n_links == 0 and got[i].component_id == i for i in (300, 301, 302, 303, 304, 307, None)) and got[None].kept
     assert got[305].n_links == got[306].n_links == 1 and got[306].component_id == 305
     assert e.near_vectors(df.limit(0)).count() == 0
+
+
+def test_one_id_with_two_vectors(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (1, [0.0, 1.0]), (3, [1.0, 0.001]), (4, [1.0, 0.0]), (5, [-0.0, 2.0]), (3, [1.0, 0.001]), (6, [-1.0, 0.0])], "vec_id long, embedding array<double>")
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in e.near_vectors(df).collect())
+    assert got == sorted([(1, 2, 1, True), (1, 1, 1, True), (3, 2, 1, False), (3, 2, 1, False), (4, 2, 1, False), (5, 1, 1, False), (6, 0, 6, True)])
+
+
+def test_large_and_small_double_vectors(spark):
+    df = spark.createDataFrame([(1, [1e200, 2e200]), (2, [1e200, 2e200]), (3, [1e-300, 2e-300]), (4, [2e200, -1e200])], "vec_id long, embedding array<double>")
+    assert {r.vec_id: (r.n_links, r.component_id) for r in e.near_vectors(df).collect()} == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (0, 4)}
+
+
+def test_cells_lose_no_link():
+    rng = np.random.default_rng(7)
+    for spread in (0.1, 0.4, 2.0):
+        x = e.unit_vectors(np.repeat(rng.normal(size=(20, 8)), 40, 0) + spread * rng.normal(size=(800, 8)))
+        for least in (0.95, 0.8):
+            for k in (1, 5, 40):
+                home, near = e.near_cells(x, x[:k], least)
+                i, j = np.nonzero(x @ x.T >= least)
+                assert near[i, home[j]].all()
+        assert len(e.pick_pivots(x, 10, 0.95)) >= (2 if spread == 0.1 else 1)
+
+
+def test_clusters_in_cells(spark):
+    rng = np.random.default_rng(8)
+    x = (np.repeat(rng.normal(size=(12, 16)), 25, 0) + 0.08 * rng.normal(size=(300, 16))).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    u = e.unit_vectors(x)
+    links = u @ u.T >= 0.95
+    np.fill_diagonal(links, False)
+    want = brute.roots(range(300), zip(*np.nonzero(links), strict=True))
+    for tile in (10, 60):
+        got = {r.vec_id: r for r in e.near_vectors(df, tile=tile).collect()}
+        assert [got[i].n_links for i in range(300)] == links.sum(1).tolist()
+        assert {i: got[i].component_id for i in got} == want

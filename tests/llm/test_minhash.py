@@ -55,3 +55,42 @@ def test_parity_sketch_never_exceeds_the_difference():
         b = np.concatenate([a[: n // 2], rng.integers(0, 1 << 63, n // 3).astype(np.uint64)])
         off = int(np.bitwise_count((m.parity(a) ^ m.parity(b)).view(np.uint64)).sum())
         assert off <= len(set(a.tolist()) ^ set(b.tolist()))
+
+
+def test_bands_follow_from_the_similarity():
+    assert (m.Plan.of(85, 3).bands, m.Plan.of(85, 3).rows, m.Plan.of(85, 3).off) == (25, 5, 36)
+    for percent in (60, 80, 85, 95, 100):
+        p = m.Plan.of(percent, 5)
+        assert p.bands * p.rows <= m.HASHES and (1 - (percent / 100) ** p.rows) ** p.bands <= m.BAND_MISS
+
+
+def test_words_of_regular_letters(spark):
+    texts = {}
+    for k, n in enumerate((1024, 2048, 4096, 8192)):
+        a, b = brute.thue_morse(n)
+        texts |= {10 * k: f"{a} x y z {a}", 10 * k + 1: f"{b} x y z {b}"}
+    check(m.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")), texts)
+
+
+def test_one_id_with_two_texts(spark):
+    one, two = " ".join(f"a{i}" for i in range(100)), " ".join(f"b{i}" for i in range(100))
+    rows = [(1, one, "x"), (1, two, "y"), (1, two, "y"), (2, two + " end", "z"), (3, one, "w"), (None, one, "n"), (None, one, "n"), (4, "", "e"), (4, "", "e"), (5, None, "f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _id string").withColumns({"_h": m.F.lit(1), "_TH": m.F.lit(2)})
+    got = sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0, r.kept) for r in m.near_duplicates(docs).collect())
+    assert got == sorted([(1, 98, 1, True), (1, 98, 1, True), (1, 98, 1, True), (2, 99, 1, False), (3, 98, 1, False), (0, 98, 0, True), (0, 98, 0, True), (4, 0, 4, True), (4, 0, 4, True), (5, 0, 5, True)])
+    kept = m.once(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id or 0, (r.text or "")[:2], r._id) for r in kept.collect()) == sorted([(1, "a0", "x"), (1, "b0", "y"), (0, "a0", "n"), (0, "a0", "n"), (4, "", "e"), (5, "", "f")])
+    assert m.once(docs.limit(0)).count() == 0
+
+
+def test_strays_meet_all_parts_of_a_bucket(spark, monkeypatch):
+    monkeypatch.setattr(m, "MEMBERS", 5)
+    rng = random.Random(9)
+    texts = {}
+    for i in range(120):  # one crowded neighbourhood with chains in it
+        own = [f"v{k}" for k in range(120)]
+        for _ in range(rng.randrange(9)):
+            own[rng.randrange(120)] = f"z{rng.randrange(40)}"
+        texts[i] = " ".join(own)
+    check(m.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")), texts)
