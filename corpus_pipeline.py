@@ -7,7 +7,6 @@ again. All stages but the last return the columns of documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from weftline.llm import common, minhash, mixing, packing, quality, secrets
 
@@ -18,15 +17,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, that of the smallest id; of rows with one id one stays."""
-    gone = common.save(minhash.near_duplicates(docs).where("not kept").select("doc_id").distinct(), "gone")
-    again = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 and doc_id is not null").select("doc_id")
-    kept = docs.join(gone, "doc_id", "left_anti")
-    again = common.save(again, "again")
-    if again.isEmpty():
-        return kept.select(docs.columns)
-    once = kept.join(again, "doc_id", "left_anti").select(docs.columns)
-    return once.unionByName(kept.join(again, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]))
+    """Of each group of documents with a similarity of 0.8 or more over shingles of five words one stays.
+
+    Of a group the row of the least doc_id stays. Rows that share a doc_id with unlike texts are decided
+    each by its own text; of rows with equal id and text one stays. Rows without an id, and null or
+    empty texts, are no copies. An empty table stays empty; other columns go through.
+    """
+    return minhash.once(docs, 80, 5)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,10 +32,13 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    taken = common.save(mixing.mix(docs).groupBy("doc_id").agg(F.max("copies").alias("_copies")), "taken").where("_copies > 0").withColumnRenamed("doc_id", "_id")
-    joined = docs.join(common.sent(taken), F.col("doc_id").eqNullSafe(F.col("_id")))
-    return joined.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(docs.columns)
+    """Each document as often as the mix takes it, so that each source's words come near its target.
+
+    Copies are decided by row: rows that share an id, or have none, are documents of their own. A null
+    source is a source, a null or empty text has no words; an empty table stays empty, and other
+    columns go through.
+    """
+    return mixing.taken(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
