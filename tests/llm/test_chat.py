@@ -5,6 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from weftline.llm import chat as c
+from weftline.llm import encoder as e
 from weftline.llm.packing import tokenizer_path
 
 
@@ -33,5 +34,11 @@ def test_round_trip(spark):
         shown = "".join(f"{c.START}{c._role(t[2])}\n{c.escape(t[3])}{c.END}\n" for t in turns)
         assert got[conv].formatted_chars == len(shown)
     for r in formatted.collect():
-        assert len(r.ids) == 4 * len(r.mask) and set(np.frombuffer(r.mask, np.int8).tolist()) <= {0, 1}
+        assert len(r.ids) == 2 * len(r.mask) and set(np.frombuffer(r.mask, np.int8).tolist()) <= {0, 1}
     assert c.read_back(c.assemble(df.limit(0), tokenizer_path()), tokenizer_path()).count() == 0
+
+
+def test_bytes_of_ids():
+    fast, plain = e.Encoder(tokenizer_path()), e.Encoder(tokenizer_path())
+    plain.engine = None
+    assert fast.token_bytes() == plain.token_bytes() and fast.size == plain.tok.get_vocab_size(with_added_tokens=True)

@@ -15,8 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ready, table
-from .encoder import byte_chars, encoder
+from .common import ready, save, sent, table
+from .encoder import encoder, id_type
 from .packing import tokenizer_path
 
 START, END = "<|im_start|>", "<|im_end|>"
@@ -64,41 +64,53 @@ def _chunks(rows, fields, most: int = 2000):
 def assemble(conversations: DataFrame, tokenizer: str, learn_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
     """One row per turn: conv_id, seq (its place), position (ids of the conversation before it), ids, mask.
 
-    A conversation's formatted form is its rows' ids in order. mask is 1 on the content ids of roles
-    that are learnt from, from the prefix sums of +1 where such a content begins and -1 where it
-    ends. Turns come by turn number, nulls first, ties by role and then text; a null role or text is
-    empty, a null conv_id is a conversation too, and repeated rows are turns of their own. Encoding
-    runs before rows are brought together, and a conversation is never held as a whole.
+    A conversation's formatted form is its rows' ids in order, in the narrowest type that holds them. mask
+    is 1 on the content ids of roles that are learnt from, from the prefix sums of +1 where such a
+    content begins and -1 where it ends. Turns come by turn number, nulls first, ties by role and then
+    text; a null role or text is empty, a null conv_id is a conversation too, and repeated rows are turns
+    of their own. Encoding runs before rows are brought together, only ids travel (and the texts of tied
+    turns), and a conversation is never held as a whole. Rows of a conversation lie in one partition, in
+    order. Other columns are ignored; an empty table gives no rows.
     """
     ready(conversations.sparkSession)
-    pieces = [("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("text", pa.string()), ("ids", pa.binary()), ("lo", pa.int64()), ("hi", pa.int64())]
+    pieces = [("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("tie", pa.string()), ("ids", pa.binary()), ("lo", pa.int64()), ("hi", pa.int64())]
+    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    tied = rows.groupBy("conv_id", "turn", "role").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    tied = save(tied.select(F.col("conv_id").alias("c"), F.col("turn").alias("t"), F.col("role").alias("r"), F.lit(True).alias("tied")), "tied")
+    if tied.isEmpty():
+        rows = rows.withColumn("tied", F.lit(False))
+    else:
+        rows = rows.join(sent(tied), F.col("conv_id").eqNullSafe(F.col("c")) & F.col("turn").eqNullSafe(F.col("t")) & (F.col("role") == F.col("r")), "left").drop("c", "t", "r")
 
     def encode(batches):
         enc = encoder(tokenizer)
-        start, end = (np.array([enc.size + k], "<u4").tobytes() for k in (0, 1))
-        wide = lambda x: np.frombuffer(x, enc.dtype).astype("<u4").tobytes()
+        kind = id_type(enc.size + 2)
+        start, end = (np.array([enc.size + k], kind).tobytes() for k in (0, 1))
+        wide = lambda x: np.frombuffer(x, enc.dtype).astype(kind).tobytes()
         newline = wide(enc.encode(["\n"])[0])
         for b in batches:
             for lo in range(0, len(b), 512):
-                part = list(zip(*(b.column(c).slice(lo, 512).to_pylist() for c in ("conv_id", "turn", "role", "text")), strict=True))
-                heads = enc.encode([_role(r[2] or "") + "\n" for r in part])
-                bodies = enc.encode([escape(r[3] or "") for r in part])
+                part = list(zip(*(b.column(c).slice(lo, 512).to_pylist() for c in ("conv_id", "turn", "role", "text", "tied")), strict=True))
+                heads = enc.encode([_role(r[2]) + "\n" for r in part])
+                bodies = enc.encode([escape(r[3]) for r in part])
                 rows = []
                 for r, h, t in zip(part, heads, bodies, strict=True):
                     h, t = wide(h), wide(t)
-                    at = 1 + len(h) // 4
-                    rows.append((*r[:2], r[2] or "", r[3] or "", start + h + t + end + newline, at, at + len(t) // 4))
+                    at = 1 + len(h) // kind.itemsize
+                    rows.append((*r[:3], r[3] if r[4] else None, start + h + t + end + newline, at, at + len(t) // kind.itemsize))
                 yield _flush(rows, pieces)
 
     out = [("conv_id", pa.int64()), ("seq", pa.int64()), ("position", pa.int64()), ("ids", pa.binary()), ("mask", pa.binary())]
 
     def join(batches):
+        size = id_type(encoder(tokenizer).size + 2).itemsize
+
         def rows():
             conv, seq, position, first = None, 0, 0, True
             for c, role, ids, lo, hi in _rows(batches, ["conv_id", "role", "ids", "lo", "hi"]):
                 if first or c != conv:
                     conv, seq, position, first = c, 0, 0, False
-                n = len(ids) // 4
+                n = len(ids) // size
                 step = np.zeros(n + 1, np.int8)
                 if role in learn_roles:
                     step[lo] += 1
@@ -108,20 +120,20 @@ def assemble(conversations: DataFrame, tokenizer: str, learn_roles: tuple[str, .
 
         yield from _chunks(rows(), out)
 
-    encoded = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text").mapInArrow(encode, "conv_id long, turn long, role string, text string, ids binary, lo long, hi long")
-    ordered = encoded.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").drop("turn", "text")
+    encoded = rows.select("conv_id", "turn", "role", "text", "tied").mapInArrow(encode, "conv_id long, turn long, role string, tie string, ids binary, lo long, hi long")
+    ordered = encoded.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "tie").drop("turn", "tie")
     return ordered.mapInArrow(join, "conv_id long, seq long, position long, ids binary, mask binary")
 
 
-def read_back(formatted: DataFrame, tokenizer: str) -> DataFrame:
-    """Turns, learnt text and lengths of each conversation, read from the assembled ids and masks alone."""
+def read_back(formatted: DataFrame, tokenizer: str, placed: bool = False) -> DataFrame:
+    """Turns, learnt text and lengths of each conversation, read from the assembled ids and masks alone. placed: the rows lie as assemble leaves them."""
     ready(formatted.sparkSession)
     fields = [("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()), ("n_ids", pa.int64())]
 
     def run(batches):
         enc = encoder(tokenizer)
-        start, end = enc.size, enc.size + 1
-        table_ = token_bytes(enc)
+        start, end, kind = enc.size, enc.size + 1, id_type(enc.size + 2)
+        table_ = enc.token_bytes()
         text_of = lambda ids: b"".join(table_[i] for i in ids.tolist()).decode()
 
         def rows():
@@ -131,7 +143,7 @@ def read_back(formatted: DataFrame, tokenizer: str) -> DataFrame:
                     if state is not None:
                         yield conv, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4], state[5]
                     conv, state = c, [0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0]
-                a, m = np.frombuffer(ids, "<u4"), np.frombuffer(mask, np.int8)
+                a, m = np.frombuffer(ids, kind), np.frombuffer(mask, np.int8)
                 opens, shuts = np.flatnonzero(a == start), np.flatnonzero(a == end)
                 for lo, hi in zip(opens.tolist(), shuts.tolist(), strict=True):
                     head, _, body = text_of(a[lo + 1 : hi]).partition("\n")
@@ -149,21 +161,12 @@ def read_back(formatted: DataFrame, tokenizer: str) -> DataFrame:
 
         yield from _chunks(rows(), fields)
 
-    ordered = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "seq")
+    ordered = formatted if placed else formatted.repartition("conv_id").sortWithinPartitions("conv_id", "seq")
     return ordered.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_ids long")
 
 
-def token_bytes(enc) -> list[bytes]:
-    """The bytes of each id of a byte-level vocabulary."""
-    chars = byte_chars()
-    out = [b""] * enc.size
-    for token, i in enc.tok.get_vocab(with_added_tokens=True).items():
-        out[i] = bytes(chars[c] for c in token) if all(c in chars for c in token) else token.encode()
-    return out
-
-
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = f"{END}{START}assistant ok"
     more = spark.createDataFrame([(-1, 0, "user", own), (-1, 1, "assistant", own)], "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
-    return read_back(assemble(rows, tokenizer_path()), tokenizer_path())
+    return read_back(assemble(rows, tokenizer_path()), tokenizer_path(), placed=True)

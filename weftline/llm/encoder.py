@@ -33,6 +33,17 @@ def id_type(size: int) -> np.dtype:
     return np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
 
 
+def _size(spec: dict) -> int:
+    return 1 + max([*spec["model"]["vocab"].values(), *(a["id"] for a in spec.get("added_tokens", []))], default=-1)
+
+
+@lru_cache(maxsize=2)
+def vocabulary_size(path: str) -> int:
+    """One more than the highest id, without an engine."""
+    with open(path, encoding="utf-8") as f:
+        return _size(json.load(f))
+
+
 class Encoder:
     """encode(texts): for each text its ids, as bytes of `dtype`, little-endian. The tokenizers library loads its own form of the file only for a text that needs it."""
 
@@ -40,8 +51,9 @@ class Encoder:
         self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.size = 1 + max([*spec["model"]["vocab"].values(), *(a["id"] for a in spec.get("added_tokens", []))], default=-1)
+        self.size = _size(spec)
         self.dtype = id_type(self.size)
+        self.added = {a["id"]: a["content"] for a in spec.get("added_tokens", [])}
         self.engine = self._engine(spec)
 
     @cached_property
@@ -78,6 +90,16 @@ class Encoder:
         return [b"" if not t else self._slow(t) if len(t) >= LONG and _RUN.search(t) else fast(t, disallowed_special=()).astype(dtype).tobytes() for t in texts]
 
 
+    def token_bytes(self) -> list[bytes]:
+        """The bytes of each id of a byte-level vocabulary."""
+        if self.engine is not None:
+            return [self.added[i].encode() if i in self.added else self.engine.decode_single_token_bytes(i) for i in range(self.size)]
+        chars, out = byte_chars(), [b""] * self.size
+        for token, i in self.tok.get_vocab(with_added_tokens=True).items():
+            out[i] = bytes(chars[c] for c in token) if all(c in chars for c in token) else token.encode()
+        return out
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     """One encoder for each Python worker."""

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import ready, remainder, table, text_slices
+from .common import ready, remainder, save, sent, table, text_slices
 
 #: Buckets of the hashed n-grams of 1 to 3 bytes.
 SIZE_BITS = 12
@@ -97,8 +97,9 @@ def fit(docs: DataFrame, fit_docs: int = FIT_DOCS, centroids: int = CENTROIDS) -
     spark = docs.sparkSession
     ready(spark)
     docs = docs.where("lang is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
-    sizes = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not sizes:
+    sizes = save(docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "languages")
+    n_docs = sizes.agg(F.sum("n")).first()[0]
+    if not n_docs:
         return None
 
     def frequencies(batches):
@@ -112,7 +113,7 @@ def fit(docs: DataFrame, fit_docs: int = FIT_DOCS, centroids: int = CENTROIDS) -
     df = np.zeros(SIZE)
     for r in docs.select("text").mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
         df[r["term"]] = r["n"]
-    idf = np.log((1 + sum(sizes.values())) / (1 + df)).astype(np.float32) + np.float32(0.1)
+    idf = np.log((1 + n_docs) / (1 + df)).astype(np.float32) + np.float32(0.1)
 
     def counts(batches):
         for b in batches:
@@ -121,8 +122,8 @@ def fit(docs: DataFrame, fit_docs: int = FIT_DOCS, centroids: int = CENTROIDS) -
                 yield pa.RecordBatch.from_arrays([*(b.column(c).slice(lo, hi - lo) for c in ("doc_id", "lang")), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "lang", "x"])
 
     scale = 1 << 20
-    cut = F.coalesce(*(F.when(F.col("lang") == k, F.lit(min(scale, -(-scale * fit_docs // n)))) for k, n in sorted(sizes.items())))
-    picked = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(scale)) < cut).mapInArrow(counts, "doc_id long, lang string, x binary")
+    share = sizes.select("lang", F.least(F.lit(scale), F.ceil(F.lit(scale * fit_docs) / F.col("n"))).alias("share"))
+    picked = docs.join(sent(share), "lang").where(F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(scale)) < F.col("share")).select("doc_id", "lang", "text").mapInArrow(counts, "doc_id long, lang string, x binary")
     # a repeated id counts once, so a key that fills a large share of the rows doesn't reach the driver in bulk
     got = picked.groupBy("doc_id", "lang").agg(F.min("x").alias("x")).toPandas().sort_values(["lang", "doc_id"], na_position="first")
     names, parts, floors = [], [], []

@@ -162,9 +162,9 @@ def label_sets(docs: DataFrame, percent: int = 85, words: int = 3) -> tuple[Data
     repeats = not real.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").isEmpty()
     own = ("a", "n", *SIGNATURE)
     bands = classes.select(F.col("cid").alias("a"), "n", *SIGNATURE, F.explode("keys").alias("key"))
-    shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(*own)).alias("p")).where("c > 1").select("key", *(F.col(f"p.{c}").alias(f"p_{c}") for c in own))
+    shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(*own)).alias("p")).where("c > 1").select("key", "c", *(F.col(f"p.{c}").alias(f"p_{c}") for c in own))
     shared = save(shared, "shared")
-    bucket = save(bands.join(sent(shared), "key"), "bucket")
+    bucket = save(spread_join(bands, shared, ["key"], "c", classes.count() * plan.bands), "bucket")
     drop(shared)
 
     first = save(bucket.where("a <> p_a").where(_alike("", "p_", plan)).select("a", F.col("p_a").alias("b")).distinct(), "pairs")
@@ -177,25 +177,28 @@ def label_sets(docs: DataFrame, percent: int = 85, words: int = 3) -> tuple[Data
     sets, torn = None, bucket.select("key", *own)
     for k in range(PIVOT_ROUNDS + 1):
         named = torn.join(label, torn["a"] == label["node"], "left").select("key", *own, F.coalesce("root", "a").alias("comp"))
-        mixed = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-        before, torn = torn, save(named.join(mixed, "key", "left_semi"), "torn")
+        mixed = save(named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key"), "mixed")
+        before, torn = torn, save(named.join(sent(mixed), "key", "left_semi"), "torn")
+        drop(mixed)
         drop(bucket if not k else before)
         if torn.isEmpty():
             break
         sets = _sets(docs, classes, torn.select(F.col("a").alias("cid")).distinct(), plan, repeats) if sets is None else sets
         held = torn.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"), F.min_by(F.struct(*own), F.xxhash64("a", "key", F.lit(k))).alias("p"))
         major = held.groupBy("key").agg(F.sum("c").alias("c"), F.max_by(F.struct("comp", "p"), F.struct("c", "comp")).alias("m")).select("key", F.ceil(F.col("c") / MEMBERS).cast("int").alias("parts"), F.col("m.comp").alias("p_comp"), *(F.col(f"m.p.{c}").alias(f"p_{c}") for c in own))
-        stray = torn.join(major, "key").where("comp <> p_comp")
+        major = save(major, "major")
+        stray = torn.join(sent(major), "key").where("comp <> p_comp")
         if k < PIVOT_ROUNDS:
             near = stray.where(_alike("", "p_", plan)).select(F.greatest("a", "p_a").alias("a"), F.least("a", "p_a").alias("b"))
         else:  # the strays of a bucket meet all its members, which are dealt into parts
             odd = sets.select(F.col("cid").alias("a"), *(F.get("odd", F.lit(i)).alias(f"o{i}") for i in range(PARITY)))
             x = _prefixed(stray.select("key", *own, "comp", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).join(odd, "a"), "x_")
-            members = torn.join(major.select("key", "parts"), "key").withColumn("part", F.pmod(F.xxhash64("a", "key"), F.col("parts")).cast("int")).drop("parts")
+            members = torn.join(sent(major).select("key", "parts"), "key").withColumn("part", F.pmod(F.xxhash64("a", "key"), F.col("parts")).cast("int")).drop("parts")
             near = x.join(members.join(odd, "a"), ["key", "part"]).where((F.col("x_comp") != F.col("comp")) & _alike("", "x_", plan) & _may_link("", "x_", percent)).select(F.greatest("a", "x_a").alias("a"), F.least("a", "x_a").alias("b"))
         pairs = save(near.distinct(), "pairs")
         more = save(_confirmed(sets, pairs, percent), "links")
         drop(pairs)
+        drop(major)
         torn = torn.select("key", *own)
         if not more.isEmpty():
             links = links.unionAll(more)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ready, table
-from .encoder import encoder
+from .encoder import encoder, id_type, vocabulary_size
 
 #: Documents that are packed together; each such pool leaves less than one sequence of padding.
 POOL_DOCS = 4096
@@ -65,7 +65,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, pool_docs: int =
 
     A document is its ids and then END_ID; a null or empty text is END_ID alone. Whole multiples of
     the capacity fill sequences of their own; what remains is packed by cost in pools that a hash of
-    doc_id makes (rows that repeat a doc_id share a pool). Each text is encoded once, and only
+    doc_id and text makes. Each text is encoded once, and only
     remainders travel. An empty table gives no rows; other columns are ignored.
     """
     ready(docs.sparkSession)
@@ -87,8 +87,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, pool_docs: int =
                     rows[2].append(a[full * capacity :].tobytes())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("pool"), pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.list_(pa.int64())), pa.array(rows[2], pa.binary())], names=["doc_id", "pool", "doc_tokens", "full_crcs", "rest"])
 
-    dtype = encoder(tokenizer).dtype.str
-    cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.pmod(F.xxhash64("doc_id"), F.lit(pools)).alias("pool"), "text").mapInArrow(run, "doc_id long, pool long, doc_tokens long, full_crcs array<long>, rest binary")
+    dtype = id_type(vocabulary_size(tokenizer)).str
+    cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(pools)).alias("pool"), "text").mapInArrow(run, "doc_id long, pool long, doc_tokens long, full_crcs array<long>, rest binary")
     return cut.groupBy("pool").applyInPandas(lambda key, pdf: _pack_pool(key, pdf, capacity, dtype), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 

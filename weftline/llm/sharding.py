@@ -6,126 +6,114 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import save, table
+from .common import drop, numbered, save, sent, table
 
-#: A cut's order key has 52 bits (20 of the dimension, 32 of the tie), found 13 bits a pass: 8192 sums a node reach the driver, whatever the input.
+#: A cut's order key has 52 bits (20 of the dimension, 32 of the tie), found 13 bits a pass: a node has 8192 sums a pass at most, whatever the input.
 DIGITS, BITS = 4, 13
 #: A cut moves to the nearer edge of a group of equal keys if that shifts at most this share of a leaf.
 SNAP = 0.005
-#: Rows that one numbering task holds.
-SLOT_ROWS = 20_000
 
 
-def _descend(rows: DataFrame, nodes: dict[int, dict], key: Column, at: str) -> None:
-    """For each node find the key at which the running weight reaches its goal: sets n[at], n["before"] and n["group"]."""
-    for n in nodes.values():
-        n[at] = 0
+def _crossing(rows: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
+    """node, at, before, group for each node of nodes (node, goal): the value of key where the node's running weight reaches its goal, the weight before it and its own.
+
+    One digit a pass: rows that agree with the digits found so far are summed by the next one, and a
+    window over a node's sums finds where they cross. The nodes' table is sent where its rows are few.
+    """
+    state = nodes.select("node", "goal", F.lit(0).cast("long").alias("at"), F.lit(0).cast("long").alias("before"), F.lit(0).cast("long").alias("group"))
+    order = W.partitionBy("node").orderBy("digit")
     for d in range(DIGITS):
         shift = BITS * (DIGITS - 1 - d)
-        prefix = F.shiftright(key, shift + BITS)
-        inside = F.coalesce(*(F.when(F.col("node") == k, prefix == n[at]) for k, n in nodes.items()), F.lit(False))
-        sums = rows.where(inside).groupBy("node", F.shiftright(key, shift).alias("digit")).agg(F.sum("weight").alias("w")).collect()
-        for k, n in nodes.items():
-            own = sorted((r["digit"], r["w"]) for r in sums if r["node"] == k)
-            for digit, w in own:
-                n[at], n["group"] = digit, w
-                if n["before"] + w >= n["goal"] or digit == own[-1][0]:
-                    break
-                n["before"] += w
+        inside = rows.select("node", "weight", key).join(sent(state), "node").where(F.shiftright(key, shift + BITS) == F.col("at"))
+        sums = inside.groupBy("node", "goal", "before", F.shiftright(key, shift).alias("digit")).agg(F.sum("weight").alias("w"))
+        run = sums.withColumn("up_to", F.col("before") + F.sum("w").over(order)).withColumn("final", F.lead("digit").over(order).isNull())
+        first = run.where((F.col("up_to") >= F.col("goal")) | F.col("final")).groupBy("node", "goal").agg(F.min_by(F.struct("digit", "up_to", "w"), "digit").alias("f"))
+        old, state = state, save(first.select("node", "goal", F.col("f.digit").alias("at"), (F.col("f.up_to") - F.col("f.w")).alias("before"), F.col("f.w").alias("group")), "digits")
+        drop(old)
+    return state
 
 
-def kd_shards(rows: DataFrame, dims: list[str], leaves: int) -> tuple[DataFrame, list[dict]]:
+def kd_shards(rows: DataFrame, dims: list[str], leaves: int) -> tuple[DataFrame, DataFrame]:
     """Add a column shard, 0 to leaves - 1, so that shards have nearly equal sums of the column weight.
 
     rows has weight (long), tie (long of 32 bits, equal for rows that should stay together), last (long
     of 52 bits) and the columns dims (numbers, null counts as 0). A node with k leaves is cut along its
     widest dimension, relative to the dimension's whole width, where the weight reaches k // 2 of k
     parts. The cut is exact: rows are ordered by dimension, tie and last, and the position is found
-    by sums of ever finer ranges of that order. Also returns the cuts.
+    by sums of ever finer ranges of that order. Nodes are a table too, so leaves may be many. Also
+    returns the cuts: node, first, leaves, dim, cut, last.
     """
-    whole = rows.agg(F.sum("weight").alias("w"), *(F.min(d).alias(f"lo_{d}") for d in dims), *(F.max(d).alias(f"hi_{d}") for d in dims)).first()
-    if whole["w"] is None:
-        return rows.withColumn("shard", F.lit(0)), []
+    spark = rows.sparkSession
+    whole = rows.agg(*(f(d).alias(f"{n}_{d}") for d in dims for n, f in (("lo", F.min), ("hi", F.max)))).first()
     lo = {d: float(whole[f"lo_{d}"] or 0) for d in dims}
     wide = {d: float(whole[f"hi_{d}"] or 0) - lo[d] for d in dims}
-    scaled = {d: F.when(F.lit(wide[d] > 0), F.least(F.lit((1 << 20) - 1), F.floor((F.coalesce(F.col(d).cast("double"), F.lit(0.0)) - lo[d]) / (wide[d] or 1.0) * ((1 << 20) - 1)).cast("long"))).otherwise(F.lit(0).cast("long")) for d in dims}
-    rows = rows.withColumns({f"_{d}": scaled[d] for d in dims})
-    tolerance = SNAP * whole["w"] / leaves
-    span = {1: (0, leaves)}  # first leaf and leaves of each open node
-    node, done, cuts = F.lit(1).cast("long"), {}, []
-    while any(n > 1 for _, n in span.values()):
-        here = rows.withColumn("node", node)
-        seen = {r["node"]: r for r in here.groupBy("node").agg(F.sum("weight").alias("w"), *(F.min(f"_{d}").alias(f"lo_{d}") for d in dims), *(F.max(f"_{d}").alias(f"hi_{d}") for d in dims)).collect()}
-        split = {}
-        for k, (first, n) in span.items():
-            if n > 1 and k in seen:
-                r = seen[k]
-                dim = max(dims, key=lambda d: (r[f"hi_{d}"] - r[f"lo_{d}"], d))  # noqa: B023
-                split[k] = {"dim": dim, "goal": r["w"] * (n // 2) / n, "before": 0, "group": 0}
-            elif n > 1:
-                done[k] = first
-        if not split:
+    top = (1 << 20) - 1
+    scaled = {d: F.least(F.lit(top), F.floor((F.coalesce(F.col(d).cast("double"), F.lit(0.0)) - lo[d]) / wide[d] * top).cast("long")) if wide[d] > 0 else F.lit(0).cast("long") for d in dims}
+    names = {d: f"_{d}" for d in dims}
+    placed = rows.withColumns({names[d]: c for d, c in scaled.items()} | {"node": F.lit(1).cast("long"), "first": F.lit(0).cast("long"), "leaves": F.lit(leaves).cast("long")})
+    cuts = spark.createDataFrame([], "node long, first long, leaves long, dim string, cut long, last long")
+    depth, written = max(0, (leaves - 1).bit_length()), None
+    for _ in range(depth):
+        span = [F.struct((F.max(names[d]) - F.min(names[d])).alias("span"), F.lit(d).alias("dim")) for d in dims]
+        found = placed.where("leaves > 1").groupBy("node", "first", "leaves").agg(F.sum("weight").alias("w"), F.greatest(*span)["dim"].alias("dim") if len(dims) > 1 else F.lit(dims[0]).alias("dim"))
+        half = F.floor(F.col("leaves") / 2)
+        nodes = save(found.select("node", "first", "leaves", "dim", (F.col("w") * half / F.col("leaves")).alias("goal"), (F.col("w") / F.col("leaves") * SNAP).alias("slack")), "nodes")
+        if nodes.isEmpty():
             break
-        key = F.coalesce(*(F.when(F.col("node") == k, F.shiftleft(F.col(f"_{s['dim']}"), 32).bitwiseOR(F.col("tie"))) for k, s in split.items()))
-        keyed = here.where(F.col("node").isin(list(split))).withColumn("key", key)
-        _descend(keyed, split, F.col("key"), "cut")
-        deep = {}
-        for k, s in split.items():
-            under, over = s["goal"] - s["before"], s["before"] + s["group"] - s["goal"]
-            s["last"] = -1 if under < over else 1 << 52
-            if min(under, over) > tolerance:
-                deep[k] = s
-        if deep:  # a group of equal keys is too large to stay together
-            inside = keyed.where(F.coalesce(*(F.when(F.col("node") == k, F.col("key") == s["cut"]) for k, s in deep.items()), F.lit(False)))
-            _descend(inside, deep, F.col("last"), "last")
-            for s in deep.values():
-                if s["goal"] - s["before"] < s["before"] + s["group"] - s["goal"]:
-                    s["last"] -= 1
-        cuts += [{"node": k, "first": span[k][0], "leaves": span[k][1], "dim": s["dim"], "cut": s["cut"], "last": s["last"]} for k, s in split.items()]
-        nxt, step = {k: v for k, v in span.items() if k not in split}, node
-        for k, s in split.items():
-            first, n = span[k]
-            nxt[2 * k], nxt[2 * k + 1] = (first, n // 2), (first + n // 2, n - n // 2)
-            own = F.shiftleft(F.col(f"_{s['dim']}"), 32).bitwiseOR(F.col("tie"))
-            left = (own < s["cut"]) | ((own == s["cut"]) & (F.col("last") <= s["last"]))
-            step = F.when(node == k, F.when(left, F.lit(2 * k)).otherwise(F.lit(2 * k + 1)).cast("long")).otherwise(step)
-        span = {k: v for k, v in nxt.items() if k not in done}
-        # the nodes of a level are a column of their own, so the next level's expression starts anew
-        rows = save(rows.withColumn("node", step), "kd") if any(n > 1 for _, n in span.values()) else rows.withColumn("node", step)
-        node = F.col("node")
-    leaf = {**{k: f for k, (f, _) in span.items()}, **done}
-    shard = F.coalesce(*(F.when(node == k, F.lit(f)) for k, f in leaf.items()), F.lit(0))
-    return rows.withColumn("shard", shard.cast("int")).drop("node", *(f"_{d}" for d in dims)), cuts
-
-
-def with_slots(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
-    """Add a gapless slot from 0 within each group: rows are numbered inside hashed parts, and parts by their counts."""
-    most = rows.groupBy(group).count().agg(F.max("count")).first()[0] or 0
-    parts = max(64, -(-most // SLOT_ROWS))
-    cut = rows.withColumn("_part", F.pmod(F.xxhash64(*order), F.lit(parts)).cast("int"))
-    counts = cut.groupBy(group, "_part").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.select(group, "_part", (F.sum("_n").over(W.partitionBy(group).orderBy("_part")) - F.col("_n")).alias("_before"))
-    own = F.row_number().over(W.partitionBy(group, "_part").orderBy(*order))
-    return cut.withColumn("_own", own).join(offsets, [group, "_part"]).withColumn("slot", F.col("_before") + F.col("_own") - 1).drop("_part", "_own", "_before")
+        own = F.coalesce(*(F.when(F.col("dim") == d, F.col(names[d])) for d in dims))
+        keyed = placed.where("leaves > 1").select("node", "weight", "tie", "last", *names.values()).join(sent(nodes.select("node", "dim")), "node")
+        keyed = save(keyed.select("node", "weight", "last", F.shiftleft(own, 32).bitwiseOR(F.col("tie")).alias("key")), "keyed")
+        at = _crossing(keyed, nodes.select("node", "goal"), "key")
+        under, over = F.col("goal") - F.col("before"), F.col("before") + F.col("group") - F.col("goal")
+        edge = at.join(nodes.select("node", "slack"), "node").withColumn("last", F.when(under < over, F.lit(-1)).otherwise(F.lit(1 << 52)).cast("long")).withColumn("deep", F.least(under, over) > F.col("slack"))
+        edge = save(edge, "edge")
+        deep = edge.where("deep")
+        if not deep.isEmpty():  # a group of equal keys is too large to stay together
+            group = keyed.join(sent(save(deep.select("node", F.col("at").alias("cut"), (F.col("goal") - F.col("before")).alias("goal")), "deep")), "node").where("key = cut").select("node", "weight", "last")
+            inner = _crossing(group, deep.select("node", (F.col("goal") - F.col("before")).alias("goal")), "last")
+            inner = inner.select("node", F.when(under < over, F.col("at") - 1).otherwise(F.col("at")).alias("inner"))
+            edge = edge.join(inner, "node", "left").withColumn("last", F.coalesce("inner", "last"))
+        table_ = save(nodes.join(edge.select("node", F.col("at").alias("cut"), "last"), "node").select("node", "first", "leaves", "dim", "cut", "last"), "cuts")
+        cuts = cuts.unionByName(table_)
+        side = sent(table_.select("node", "dim", "cut", F.col("last").alias("_last")))
+        key = F.shiftleft(own, 32).bitwiseOR(F.col("tie"))
+        left = (key < F.col("cut")) | ((key == F.col("cut")) & (F.col("last") <= F.col("_last")))
+        step = placed.join(side, "node", "left").withColumn("_left", F.when(F.col("dim").isNotNull(), left)).withColumn("_half", F.floor(F.col("leaves") / 2))
+        moved = {
+            "node": F.when(F.col("_left"), F.col("node") * 2).when(~F.col("_left"), F.col("node") * 2 + 1).otherwise(F.col("node")),
+            "first": F.when(~F.col("_left"), F.col("first") + F.col("_half")).otherwise(F.col("first")),
+            "leaves": F.when(F.col("_left"), F.col("_half")).when(~F.col("_left"), F.col("leaves") - F.col("_half")).otherwise(F.col("leaves")),
+        }
+        before, written = written, save(step.withColumns(moved).select(placed.columns), "kd")
+        placed = written
+        drop(before)
+        drop(keyed)
+    return placed.withColumn("shard", F.col("first").cast("int")).drop("node", "first", "leaves", *names.values()), cuts
 
 
 def shard_documents(docs: DataFrame, shards: int | None = 16, target_bytes: int | None = None) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of every document; sizes of shards are near equal.
 
-    The tree's dimensions are the logarithm of the size and the language, which equal texts share;
-    its ties are the text's crc32 and then a hash of doc_id. So equal texts lie together unless a cut
-    falls into a group too large for its side. With target_bytes the number of leaves follows from
-    the whole size. A null text has size 1 and crc 0; a null language is a language; repeated
-    rows with one doc_id stay together; an empty table gives no rows. Only slim columns are moved.
+    The tree's dimensions are the logarithm of the size and the language; a text that occurs under
+    several languages counts under the least, so equal texts share both. Its ties are the text's
+    crc32 and then a hash of doc_id. So equal texts lie together unless a cut falls into a group too
+    large for its side. With target_bytes the number of leaves follows from the whole size. A null text
+    has size 1 and crc 0; a null language is a language; rows that repeat a doc_id with one text stay
+    together, also where a cut falls into their group; an empty table gives no rows. Only slim columns
+    are moved; other columns are ignored.
     """
-    text = F.col("text").cast("binary")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"), F.coalesce(F.crc32(text), F.lit(0)).cast("long").alias("text_crc32"), F.coalesce(F.crc32(F.col("lang").cast("binary")), F.lit(0)).alias("lang_code"))
+    code: Column = F.coalesce(F.crc32(F.col("lang").cast("string").cast("binary")), F.lit(0))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"), F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).cast("long").alias("text_crc32"), code.alias("lang_code"))
     rows = save(rows.select("*", F.col("size").alias("weight"), F.log2("size").alias("log_size"), F.col("text_crc32").alias("tie"), F.shiftrightunsigned(F.xxhash64("doc_id"), 12).alias("last")), "meta")
+    mixed = rows.groupBy("text_crc32", "size").agg(F.min("lang_code").alias("least"), F.max("lang_code").alias("most")).where("least < most").drop("most")
+    mixed = save(mixed, "mixed")
+    if not mixed.isEmpty():
+        rows = rows.join(sent(mixed), ["text_crc32", "size"], "left").withColumn("lang_code", F.coalesce("least", "lang_code")).drop("least")
     if target_bytes:
         shards = max(1, -(-(rows.agg(F.sum("size")).first()[0] or 0) // target_bytes))
     found, _ = kd_shards(rows, ["log_size", "lang_code"], shards)
-    slim = found.select("doc_id", "size", "text_crc32", "shard")
-    return with_slots(slim, "shard", ["doc_id", "text_crc32", "size"]).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    slim = numbered(found.select("doc_id", "size", "text_crc32", "shard"), ["shard"], "slot")
+    return slim.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op3_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
