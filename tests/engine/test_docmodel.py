@@ -67,7 +67,17 @@ def test_budget_and_export(graph, tmp_path):
 
 
 def test_document_check():
-    good = "".join(f"## {h}\nsee src/A.java:2\n" for h in docmodel.HEADINGS)
+    good = "".join(f"{h}\nsee src/A.java:2\n" for h in docmodel.HEADINGS)
     assert docmodel.check_document(good, {"src/A.java": 3}) == []
     assert docmodel.check_document(good, {"src/A.java": 1})[0].startswith("line 2")
-    assert any(x.startswith("heading Flow") for x in docmodel.check_document(good.replace("## Flow", "## Other"), {"src/A.java": 3}))
+    flow = "## 5. Data Flow"
+    assert any(x.startswith(f"heading {flow}") for x in docmodel.check_document(good.replace(flow, "## Other"), {"src/A.java": 3}))
+    assert any(x.startswith(f"heading {flow}: 2") for x in docmodel.check_document(good + flow + "\nNeeds verification\n", {"src/A.java": 3}))
+    fenced = good.replace(f"{flow}\nsee src/A.java:2", f"{flow}\n```\nsee src/A.java:2\n```")
+    assert docmodel.check_document(fenced, {"src/A.java": 3}) == [f"section {flow}: no citation"]
+    assert docmodel.check_document(fenced.replace("```\nsee", "Needs verification\n```\nsee"), {"src/A.java": 3}) == []
+    bare = "".join(f"{h}\nNeeds verification\n" for h in docmodel.HEADINGS)
+    assert docmodel.check_document(bare, {}) == ["no citation"]
+    assert docmodel.check_document(good + "`../x.java:1` and `my file.sql:9`", {"src/A.java": 3, "my file.sql": 2}) == ["unsafe path ../x.java", "line 9 beyond my file.sql"]
+    assert docmodel.check_document(good, {"src/A.java": 3}, {"src/B.java"})[0].startswith("file outside")
+    assert docmodel.cited("see `a b.sql:3`, src/x.java:4.") == [("a b.sql", 3), ("src/x.java", 4)]

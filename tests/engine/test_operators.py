@@ -55,6 +55,30 @@ def test_traverse_matches_naive_search(spark):
                 assert sorted(p["nodes"] for p in got.paths) == sorted(want[0]) and got.path_limit == want[3]["path"]
 
 
+def test_traces_by_mode(spark):
+    nodes = spark.createDataFrame([("route:/a", "route", "/a"), ("java_method:m", "java_method", "m"), ("statement:s.a", "statement", "s.a"), ("statement:s.b", "statement", "s.b"), ("table:t", "table", "t"), ("page:/p", "page", "/p")], "id string, type string, name string")
+    rows = [("page:/p", "submits_to", "route:/a"), ("route:/a", "dispatches_to", "java_method:m"), ("java_method:m", "uses_statement", "statement:s.a"), ("java_method:m", "uses_statement", "statement:s.b"), ("statement:s.a", "reads_from", "table:t"), ("statement:s.b", "writes_to", "table:t"), ("table:t", "reads_from", "page:/p"), ("page:/p", "contains", "table:t")]
+    edges = spark.createDataFrame([(f"{a}|{k}|{b}|r", a, b, k) for a, k, b in rows], "id string, source string, target string, type string")
+    t = traverse.trace_statement(nodes, edges, "s.a")
+    assert t.matches == ["statement:s.a"] and t.warnings == [] and [p["nodes"][-1] for p in t.paths] == ["statement:s.b", "table:t"]  # backwards a table doesn't end a path
+    assert len(t.paths[0]["nodes"]) == 6 and t.max_states == 5000
+    assert [p["nodes"] for p in traverse.trace_url(nodes, edges, "/a").paths] == [["route:/a", "java_method:m", f"statement:s.{x}", "table:t"] for x in "ab"]
+    assert traverse.trace_table(nodes, edges, "t").paths[0]["nodes"][0] == "table:t"
+    assert traverse.trace_feature(nodes, edges, "/p").matches == ["page:/p"]
+    none = traverse.trace_procedure(nodes, edges, "s.a")
+    assert none.warnings == ["no_match"] and none.paths == [] and none.expanded == 0
+
+
+def test_neighbours_in_the_order_of_the_locale(spark):
+    ids = ["n:10", "n:1", "n:B", "n:a", "n:_", "n:Z"]
+    edges = spark.createDataFrame([(f"s|x|{i}|k", "s", i, "x") for i in ids], "id string, source string, target string, type string")
+    t = traverse.traverse(edges, ["s"], max_states=4)
+    assert t.state_limit and t.enqueued == 4 and sorted(t.nodes) == ["n:1", "n:10", "n:_", "s"]
+    whole = traverse.traverse(edges, ["s"])
+    assert [p["nodes"][1] for p in whole.paths] == ["n:_", "n:1", "n:10", "n:a", "n:B", "n:Z"]
+    assert [p["nodes"][1] for p in traverse.merge(spark, whole, whole).paths] == [p["nodes"][1] for p in whole.paths]
+
+
 def test_merge_nodes(spark):
     rows = [(1, "a", "x", "t", None, ["e1", "e1"], ["s"], {"k": "1"}), (2, "a", "y", "t", "f", ["e1", "e2"], ["s", "r"], {"k": "2", "m": "3"}), (3, "b", "z", "t", None, ["e", "e"], [], None)]
     df = spark.createDataFrame(rows, "ord int, id string, name string, type string, file_path string, evidence array<string>, search_text array<string>, data map<string,string>")
@@ -77,9 +101,9 @@ def test_joins(spark):
     climb = spark.createDataFrame([("c", "b"), ("b", "a"), ("a", "c")], "id string, parent string")
     hits = spark.createDataFrame([("a", "top"), ("b", "mid")], "owner string, found string")
     assert {(r.id, r.found, r.level) for r in traverse.nearest(climb, hits).collect()} == {("c", "mid", 1), ("b", "mid", 0), ("a", "top", 0)}
-    url = spark.createDataFrame([(1, "/a/b/c"), (2, "/a"), (3, "/x")], "i int, url string")
-    pat = spark.createDataFrame([("/a/*",), ("/a/b/c",), ("/*",)], "pattern string")
-    assert {(r.i, r.pattern) for r in match.prefix_routes(url, pat).collect()} == {(1, "/a/*"), (1, "/a/b/c"), (1, "/*"), (2, "/a/*"), (2, "/*"), (3, "/*")}
+    url = spark.createDataFrame([(1, "/a/b/c"), (2, "/a"), (3, "/x"), (4, "/a/"), (5, "/a/*"), (6, "q")], "i int, url string")
+    pat = spark.createDataFrame([("/a/*",), ("/a/b/c",), ("/*",), ("q",)], "pattern string")
+    assert {(r.i, r.pattern) for r in match.prefix_routes(url, pat).collect()} == {(1, "/a/*"), (1, "/a/b/c"), (1, "/*"), (2, "/*"), (3, "/*"), (4, "/a/*"), (4, "/*"), (5, "/a/*"), (5, "/*"), (6, "q")}
 
 
 def test_budgets(spark):
@@ -97,9 +121,14 @@ def test_text_functions(spark):
     assert one(tx.merge_params(tx.query_params(F.lit("/a?x=1&y=2")), tx.query_params(F.lit("/a?x=1&y=3&z=4")))) == {"x": "1", "y": "", "z": "4"}
     assert one(tx.sql_tables(F.lit("WITH r AS (SELECT 1) INSERT INTO [dbo] . [T] SELECT * FROM r JOIN b.c x -- FROM no"), F.lit("insert"))) == (["b.c"], ["dbo.t"])
     assert one(tx.signature_simple(F.lit("java.util.List,int"))) == "List,int" and one(tx.simple_name(F.lit("a.b.C<D>[]"))) == "C"
-    assert one(tx.slug(F.lit("orders"))) == "orders" and one(tx.slug(F.lit("con"))).startswith("con--") and one(tx.module_of(F.lit("/m/x.do?y"))) == "m"
+    assert one(tx.slug(F.lit("orders"))) == "orders" and one(tx.module_of(F.lit("/m/x.do?y"))) == "m"
     assert [len(p) for p in one(tx.chunks(F.lit("a" * 5 + "b" * 20), 10, 2))] == [10, 10, 9]
-    assert tx.resolve_url("/a/b.jsp", "../c.do?x#y") == "/c.do" and tx.resolve_url("/a/b.jsp", "http://x/y") is None and tx.resolve_url("/a/b.jsp", "${pageContext.request.contextPath}/z/") == "/z/"
+    links = {"../c.do?x#y": "/c.do", "http://x/y": None, "${pageContext.request.contextPath}/z/": "/z/", "${ctx}/q": "/q", "": "/a/b.jsp", "?x=1": "/a/b.jsp", "#t": None, "//h/p": None, "x/${y}": None, "..": "/", ".": "/a/", "../../../up": "/up", "//": None, "a//b/./c/": "/a/a/b/c/", None: None}
+    df = spark.createDataFrame(list(enumerate(links)), "i int, t string").select("t", tx.url_resolved(F.lit("/a/b.jsp"), F.col("t")).alias("u"))
+    assert {r.t: r.u for r in df.collect()} == links
+    slugs = {"orders": "orders", " Orders ": "orders", "": "scope", "con": "con--", "com0": "com0", "lpt9": "lpt9--", "a_b": "a-b--", "é": "scope--", "Ａ1": "a1", "x" * 48: "x" * 48, "x" * 49: "x" * 30 + "--", "y" * 29 + "-" + "z" * 30: "y" * 29 + "--"}
+    got = {r.t: r.u for r in spark.createDataFrame([(t,) for t in slugs], "t string").select("t", tx.slug(F.col("t")).alias("u")).collect()}
+    assert all(got[t] == s or s.endswith("--") and got[t].startswith(s) and len(got[t]) == len(s) + 16 for t, s in slugs.items()), got
 
 
 def test_globs(spark):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -10,6 +11,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parents[2])
+_SAVED: dict[str, SparkSession] = {}
 
 
 def ready(spark: SparkSession) -> None:
@@ -31,8 +33,55 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+def new_path(spark: SparkSession) -> str:
+    """A folder for a table, deleted by drop or when the driver ends."""
+    path = f"{shared_dir(spark)}/weft-{uuid.uuid4().hex}"
+    _SAVED[path] = spark
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it back, so that an iterative plan's lineage stays short."""
-    path = f"{shared_dir(df.sparkSession)}/weft-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._weft_path = path
+    return out
+
+
+def drop(*frames: DataFrame | None) -> None:
+    """Delete saved tables that nothing reads any more."""
+    for df in frames:
+        if df is not None and (path := getattr(df, "_weft_path", None)) in _SAVED:
+            _delete(path, _SAVED.pop(path))
+
+
+def _delete(path: str, spark: SparkSession) -> None:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(conf).delete(p, True)
+
+
+@atexit.register
+def _clear() -> None:
+    for path, spark in list(_SAVED.items()):
+        try:
+            _delete(path, spark)
+        except Exception:  # the session has ended; the folder's owner clears it
+            return
+
+
+class Rounds:
+    """A table that grows by the rows of each round of a loop: a round is written once, and earlier ones are only read."""
+
+    def __init__(self, first: DataFrame):
+        self.spark, self.schema, self.tables = first.sparkSession, first.schema, []
+        self.last = self.add(first)
+
+    def add(self, df: DataFrame) -> DataFrame:
+        self.last = cut(df)
+        self.tables.append(self.last)
+        return self.last
+
+    def all(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(*(t._weft_path for t in self.tables))

@@ -1,22 +1,26 @@
-"""Text functions as column expressions; Python only for Unicode normalisation and URL resolution."""
+"""Text functions as column expressions; Python only for Unicode normalisation and SQL statements, by Arrow batches."""
 
 from __future__ import annotations
 
-import posixpath
 import unicodedata
-from urllib.parse import urlsplit
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weftline.sources.parsers import sql
+
 # Fixed values.
 WEB_ROOTS = ("src/main/webapp/", "WebRoot/", "WebContent/", "web/")
 METHODS = ("GET", "POST", "PUT", "DELETE", "PATCH", "HEAD", "OPTIONS")
 CONTROLS = r"[\p{Cc}\p{Cf}\p{Cs}\p{Zl}\p{Zp}]+"
 CHUNK, OVERLAP = 256 * 1024, 2 * 1024
-IDENTIFIER = r"(?:\[[^\]]+\]|[A-Za-z_][A-Za-z0-9_$#]*)(?:\s*\.\s*(?:\[[^\]]+\]|[A-Za-z_][A-Za-z0-9_$#]*))*"
+SLUG, DIGEST = 48, 16
+RESERVED = ("con", "prn", "aux", "nul", *(f"{d}{n}" for d in ("com", "lpt") for n in range(1, 10)))
+#: What stands for the application's own root in links of pages.
+CONTEXT_PATH = r"\$\{\s*(?:pageContext\.request\.contextPath|ctx|contextPath)\s*\}|<%=\s*request\.getContextPath\(\)\s*%>"
+DYNAMIC = r"\$\{|%\{|#\{|<%"
 
 
 @F.pandas_udf(T.StringType())
@@ -67,11 +71,15 @@ def diagram_label(value: Column, most: int = 60) -> Column:
     return F.when(F.length(shown) <= most, shown).otherwise(F.concat(F.substring(shown, 1, most - 9), F.lit("-"), F.substring(F.sha2(value, 256), 1, 8)))
 
 
-def slug(value: Column, most: int = 60) -> Column:
-    """A file name of a scope: itself if plain, else its plain part and a hash."""
-    plain = F.regexp_replace(F.regexp_replace(F.lower(F.trim(value)), r"[^\p{L}\p{N}]+", "-"), r"^-+|-+$", "")
-    kept = (plain == value) & (F.length(plain) <= most) & (plain != "") & ~plain.rlike(r"^(?:con|prn|aux|nul|com[0-9]|lpt[0-9])$")
-    return F.when(kept, plain).otherwise(F.concat(F.substring(F.when(plain == "", "scope").otherwise(plain), 1, most), F.lit("--"), F.substring(F.sha2(value, 256), 1, 16)))
+def slug(value: Column) -> Column:
+    """A file name of a scope: its normal form if that is plain and short, else its readable part and a digest of the normal form."""
+    text = nfkc(F.coalesce(value, F.lit("")))
+    readable = F.regexp_replace(F.regexp_replace(text, "[^a-z0-9]+", "-"), "^-|-$", "")
+    plain = (readable == text) & (F.length(text) <= SLUG) & ~text.isin(*RESERVED)
+    named = lambda c: F.when(c == "", "scope").otherwise(c)
+    head = named(F.rtrim(F.translate(F.substring(named(readable), 1, SLUG - DIGEST - 2), "-", " ")))
+    shown = F.concat(F.translate(head, " ", "-"), F.lit("--"), F.substring(F.sha2(text.cast("binary"), 256), 1, DIGEST))
+    return F.when(text == "", "scope").when(plain, text).otherwise(shown)
 
 
 def module_of(url: Column) -> Column:
@@ -113,26 +121,17 @@ def merge_params(a: Column, b: Column) -> Column:
     return F.map_zip_with(a, b, lambda _, x, y: F.when(x.isNull(), y).when(y.isNull() | (x == y), x).otherwise(""))
 
 
-def resolve_url(base: str, target: str | None) -> str | None:
-    """Path of a link on a page, or None for an external, dynamic or empty one."""
-    text = (target or "").strip()
-    for own in ("${pageContext.request.contextPath}", "<%=request.getContextPath()%>", "<%= request.getContextPath() %>"):
-        text = text.removeprefix(own)
-    if not text or text.startswith("#") or "${" in text or "<%" in text or "#{" in text:
-        return None
-    parts = urlsplit(text)
-    if parts.scheme or parts.netloc:
-        return None
-    if not parts.path:
-        return None
-    joined = parts.path if parts.path.startswith("/") else posixpath.join(posixpath.dirname(base) or "/", parts.path)
-    out = posixpath.normpath("/" + joined.lstrip("/"))
-    return out + "/" if parts.path.endswith("/") and out != "/" else out
-
-
-@F.pandas_udf(T.StringType())
-def url_resolved(base: pd.Series, target: pd.Series) -> pd.Series:
-    return pd.Series([resolve_url(b or "/", t) for b, t in zip(base, target, strict=True)], dtype=object)
+def url_resolved(base: Column, target: Column) -> Column:
+    """Path of a link on the page `base`; null for an external or dynamic one. Dot steps and repeated slashes go."""
+    value = F.trim(F.regexp_replace(target, CONTEXT_PATH, ""))
+    path = F.regexp_extract(value, "^[^?#]*", 0)
+    off = value.startswith("#") | value.startswith("//") | value.startswith("\\\\") | value.rlike("^[A-Za-z][A-Za-z0-9+.-]*:") | path.rlike(f"[<>]|{DYNAMIC}")
+    page = F.coalesce(base, F.lit("/"))
+    joined = F.when(path == "", page).when(path.startswith("/"), path).otherwise(F.concat(F.regexp_replace(page, "[^/]*$", ""), path))
+    step = lambda done, s: F.when(s == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).when(s.isin("", "."), done).otherwise(F.concat(done, F.array(s)))
+    parts = F.aggregate(F.split(joined, "/"), F.array().cast("array<string>"), step)
+    tail = F.when(joined.rlike(r"(?:^|/)\.{0,2}$") & (F.size(parts) > 0), "/").otherwise("")
+    return F.when(~off, F.concat(F.lit("/"), F.array_join(parts, "/"), tail))
 
 
 def table_name(value: Column) -> Column:
@@ -140,45 +139,10 @@ def table_name(value: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(F.regexp_replace(value, r"[\[\]`\"']", ""), r"\s*\.\s*", ".")))
 
 
-def sql_plain(sql: Column) -> Column:
-    """SQL with comments and string contents blanked to one space."""
-    return F.regexp_replace(sql, r"(?s)--[^\n]*|/\*.*?(?:\*/|$)|'(?:[^']|'')*(?:'|$)", " ")
-
-
-def tables_after(sql: Column, keyword: str) -> Column:
-    return F.transform(F.regexp_extract_all(sql, F.lit(rf"(?i)\b{keyword}\s+({IDENTIFIER})"), F.lit(1)), table_name)
-
-
-def sql_aliases(sql: Column) -> Column:
-    """Map of table aliases after FROM and JOIN; the last use of an alias wins (mapKeyDedupPolicy LAST_WIN is not needed)."""
-    pattern = rf"(?i)\b(?:FROM|JOIN)\s+({IDENTIFIER})(?:\s+(?:AS\s+)?([A-Za-z_][A-Za-z0-9_$]*))?"
-    names = F.transform(F.regexp_extract_all(sql, F.lit(pattern), F.lit(1)), table_name)
-    alias = F.transform(F.regexp_extract_all(sql, F.lit(pattern), F.lit(2)), F.lower)
-    reserved = F.array(*(F.lit(w) for w in ("", "where", "join", "inner", "left", "right", "full", "cross", "on", "group", "order", "set", "union", "having", "option")))
-    return F.filter(F.reverse(F.zip_with(alias, names, lambda a, n: F.struct(a.alias("alias"), n.alias("table")))), lambda r: ~F.array_contains(reserved, r["alias"]))
-
-
-def sql_tables(sql: Column, kind: Column) -> Column:
-    """Struct of the sorted tables that a statement of a kind (select, update, insert, delete, statement) reads and writes."""
-    s = sql_plain(sql)
-    aliases = sql_aliases(s)
-    real = lambda t: F.coalesce(F.get(F.filter(aliases, lambda a: a["alias"] == t), F.lit(0))["table"], t)
-    none = F.array().cast("array<string>")
-    is_ = lambda k: (kind == k) | (kind == "statement")
-    ctes = F.transform(F.regexp_extract_all(s, F.lit(rf"(?i)(?:\bWITH|,)\s*({IDENTIFIER})\s+AS\s*\("), F.lit(1)), table_name)
-    read = F.concat(tables_after(s, "FROM"), tables_after(s, "JOIN"), F.when(is_("update"), tables_after(s, "USING")).otherwise(none))
-    updated = F.transform(F.regexp_extract_all(s, F.lit(rf"(?i)\bUPDATE\s+(?!SET\b)({IDENTIFIER})"), F.lit(1)), table_name)
-    by_alias = F.transform(F.regexp_extract_all(s, F.lit(rf"(?i)\bDELETE\s+(?!FROM\b)({IDENTIFIER})\s+FROM\b"), F.lit(1)), table_name)
-    written = F.transform(
-        F.concat(
-            F.when(is_("update"), F.concat(updated, tables_after(s, r"MERGE\s+INTO"))).otherwise(none),
-            F.when(is_("insert"), tables_after(s, r"INSERT\s+INTO")).otherwise(none),
-            F.when(is_("delete"), F.concat(tables_after(s, r"DELETE\s+FROM"), by_alias)).otherwise(none),
-        ),
-        real,
-    )
-    writes = F.array_sort(F.array_distinct(written))
-    return F.struct(F.array_sort(F.array_except(F.array_except(F.array_distinct(read), writes), ctes)).alias("reads"), writes.alias("writes"))
+@F.pandas_udf(T.StructType([T.StructField(c, T.ArrayType(T.StringType())) for c in ("reads", "writes")]))
+def sql_tables(statements: pd.Series, kinds: pd.Series) -> pd.DataFrame:
+    """Sorted tables that a statement of a kind (select, update, insert, delete, statement) reads and writes."""
+    return pd.DataFrame([sql.lineage(s or "", k) for s, k in zip(statements, kinds, strict=True)], columns=["reads", "writes"])
 
 
 def citations(text: Column) -> Column:

@@ -9,11 +9,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def first_tier(found: DataFrame, key: str) -> DataFrame:
+    """All matches of the first tier that has any for a reference."""
+    return found.withColumn("_best", F.min("tier").over(W.partitionBy(key))).where("tier = _best").drop("_best")
+
+
 def tiered(refs: DataFrame, key: str, tiers: list[DataFrame]) -> DataFrame:
-    """All matches of the first tier that has any for a reference. Each tier is a frame of key columns and a target, already joined."""
-    found = reduce(DataFrame.unionByName, (t.withColumn("tier", F.lit(i)) for i, t in enumerate(tiers)))
-    best = found.groupBy(key).agg(F.min("tier").alias("best"))
-    return found.join(best, key).where("tier = best").drop("best")
+    """All matches of the first tier that has any for a reference. Each tier is a frame of key columns and a target, already joined; each is evaluated once."""
+    return first_tier(reduce(DataFrame.unionByName, (t.withColumn("tier", F.lit(i)) for i, t in enumerate(tiers))), key)
 
 
 def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, when: str, values: list[str]) -> DataFrame:
@@ -34,11 +37,11 @@ def innermost(points: DataFrame, ranges: DataFrame, keys: list[str], point: str,
 
 
 def prefix_routes(routes: DataFrame, patterns: DataFrame) -> DataFrame:
-    """Routes (url) with the patterns (pattern) they match: equal text, or for a trailing * the text before it. Prefixes are joined by equality, one row for each level of a url."""
-    exact = routes.join(patterns.where(~F.col("pattern").endswith("*")), F.col("url") == F.col("pattern"))
-    levels = routes.withColumn("_p", F.explode(F.transform(F.sequence(F.lit(1), F.size(F.split("url", "/"))), lambda i: F.concat(F.array_join(F.slice(F.split("url", "/"), 1, i), "/"), F.lit("/*")))))
-    under = patterns.where(F.col("pattern").endswith("/*"))
-    wide = levels.join(under, F.col("_p") == F.col("pattern")).drop("_p")
+    """Routes (url) with the patterns (pattern) they match: the same text, or for a pattern that ends in /* a text that goes on after its slash. Prefixes are joined by equality, one row for each level above the url's own."""
+    exact = routes.join(patterns, F.col("url") == F.col("pattern"))
+    steps = F.split("url", "/")
+    levels = routes.where(F.size(steps) > 1).withColumn("_p", F.explode(F.transform(F.sequence(F.lit(1), F.size(steps) - 1), lambda i: F.concat(F.array_join(F.slice(steps, F.lit(1), i), "/"), F.lit("/*")))))
+    wide = levels.join(patterns.where(F.col("pattern").endswith("/*")), F.col("_p") == F.col("pattern")).drop("_p")
     return exact.unionByName(wide).distinct()
 
 

@@ -51,10 +51,17 @@ def type_counts(df: DataFrame) -> DataFrame:
 
 
 def orphan_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Edges whose source or target is no node."""
-    ids = nodes.select("id").distinct()
-    lost = edges.join(ids, edges["source"] == ids["id"], "left_anti").unionByName(edges.join(ids, edges["target"] == ids["id"], "left_anti"))
-    return lost.dropDuplicates(["id"])
+    """Edges whose source or target is no node, each once: both ends go through one anti-join."""
+    ends = edges.withColumn("_end", F.explode(F.array("source", "target")))
+    ids = nodes.select(F.col("id").alias("_end")).distinct()
+    return ends.join(ids, "_end", "left_anti").drop("_end").dropDuplicates(["id"])
+
+
+def integrity(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: orphans (edges without an end), node_repeats, edge_repeats."""
+    ids = nodes.select("id", F.lit(0).alias("is_edge")).unionByName(edges.select("id", F.lit(1).alias("is_edge")))
+    repeats = ids.groupBy("id", "is_edge").agg(F.count(F.lit(1)).alias("n")).where("n > 1").agg(F.count_if(F.col("is_edge") == 0).alias("node_repeats"), F.count_if(F.col("is_edge") == 1).alias("edge_repeats"))
+    return orphan_edges(nodes, edges).agg(F.count(F.lit(1)).alias("orphans"), F.lit(0).alias("_k")).join(repeats.withColumn("_k", F.lit(0)), "_k").drop("_k")
 
 
 def repeated_ids(df: DataFrame, key: str = "id") -> DataFrame:

@@ -60,24 +60,27 @@ def nfkc_all(values: pd.Series) -> pd.Series:
     return values.map(lambda v: [normal(x) for x in v])
 
 
+def by_id() -> Column:
+    """Ids in the order of the root locale."""
+    return F.collate(F.col("id"), "UNICODE")
+
+
 def search(nodes: DataFrame, query: str, limit: int = SEARCH_LIMIT, types: list[str] | None = None, ascii_only: bool = False) -> DataFrame:
-    """The best matches, by score and then id in the collation of the root locale."""
-    found = scored(nodes, query, types, ascii_only)
-    by = F.col("id") if ascii_only else F.collate(F.col("id"), "UNICODE")
-    return found.orderBy(F.desc("score"), by).limit(limit)
+    """The best matches, by score and then id in the order of the root locale."""
+    return scored(nodes, query, types, ascii_only).orderBy(F.desc("score"), by_id()).limit(limit)
 
 
 def starts(nodes: DataFrame, query: str, types: list[str] | None = None, ascii_only: bool = False) -> DataFrame:
-    """Where a trace begins: of the first matches those with the top score, at most STARTS."""
+    """Where a trace begins: of the first matches those with the top score, at most STARTS, in the order of the search."""
     top = search(nodes, query, START_MATCHES, types, ascii_only)
-    best = top.agg(F.max("score").alias("best"))
-    # the right side is one row
-    return top.join(F.broadcast(best), top["score"] == best["best"]).drop("best").orderBy("id").limit(STARTS)
+    # at most START_MATCHES rows
+    best = top.withColumn("_best", F.max("score").over(W.partitionBy(F.lit(0))))
+    return best.where("score = _best").drop("_best").orderBy(by_id()).limit(STARTS)
 
 
 def per_type(nodes: DataFrame, query: str, k: int = 8, ascii_only: bool = False) -> DataFrame:
     """The k best of each type with a flag whether the type had more."""
     found = scored(nodes, query, None, ascii_only)
     w = W.partitionBy("type")
-    ranked = found.withColumn("rank", F.row_number().over(w.orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k + 1)
+    ranked = found.withColumn("rank", F.row_number().over(w.orderBy(F.desc("score"), by_id()))).where(F.col("rank") <= k + 1)
     return ranked.withColumn("truncated", F.max("rank").over(w) > k).where(F.col("rank") <= k)

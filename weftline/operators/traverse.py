@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from weftline.functions.scratch import cut
+from weftline.functions.scratch import Rounds
+from weftline.operators import search
 
 # Limits and the edge types of the trace modes.
 MAX_DEPTH, MAX_PATHS, MAX_STATES = 14, 100, 5000
@@ -32,9 +33,15 @@ class Trace:
     nodes: set[str] = field(default_factory=set)
     edges: set[str] = field(default_factory=set)
     expanded: int = 0
+    enqueued: int = 0
     state_limit: bool = False
     path_limit: bool = False
     depth_limit: bool = False
+    max_states: int = 0
+    max_paths: int = 0
+    max_depth: int = 0
+    matches: list[str] = field(default_factory=list)
+    warnings: list[str] = field(default_factory=list)
 
     @property
     def truncated(self) -> bool:
@@ -50,102 +57,141 @@ def steps(edges: DataFrame, direction: str, types: tuple[str, ...] | None = None
     return {"outgoing": out, "incoming": back, "both": out.unionAll(back)}[direction]
 
 
+def in_order(spark: SparkSession, paths: list[dict]) -> list[dict]:
+    """Paths by their number of nodes, longest first, then by their ids in the order of the root locale."""
+    if len(paths) < 2:
+        return list(paths)
+    rows = [(i, len(p["nodes"]), ",".join(p["nodes"])) for i, p in enumerate(paths)]
+    ranked = spark.createDataFrame(rows, "i int, n int, ids string").orderBy(F.desc("n"), collated(F.col("ids")), "i")
+    return [paths[r["i"]] for r in ranked.select("i").collect()]
+
+
+def collated(c: Column) -> Column:
+    """A text as it sorts in the root locale."""
+    return F.collate(c, "UNICODE")
+
+
 def traverse(edges: DataFrame, start_ids: list[str], direction: str = "outgoing", types: tuple[str, ...] | None = None, max_depth: int = MAX_DEPTH, max_paths: int = MAX_PATHS, max_states: int = MAX_STATES, ends: DataFrame | None = None) -> Trace:
-    """Simple paths in breadth-first order from start_ids, neighbours by edge id, within the limits.
+    """Simple paths in breadth-first order from start_ids, neighbours by edge id in the order of the root locale, within the limits.
 
     The open paths of a level never exceed max_states, so they are what is sent to the edges; the
-    edges stay distributed. Of a level's continuations only their number by path, and the first ones
-    that the state limit leaves, come back. ends: ids (column id) at which an outgoing path stops.
+    edges stay distributed. Of a level's continuations only the first ones that the state limit leaves,
+    and one more, come back, in one job a level. ends: ids (column id) at which an outgoing path stops.
     """
     spark = edges.sparkSession
     adjacent = steps(edges, direction, types)
-    out = Trace(nodes=set(start_ids))
+    start_ids = list(dict.fromkeys(start_ids))
+    out = Trace(nodes=set(start_ids), max_states=max_states, max_paths=max_paths, max_depth=max_depth)
     level = [{"nodes": [s], "types": [], "edges": []} for s in start_ids]
-    enqueued, stop = len(level), False
+    stop, out.enqueued = False, len(level)
     while level and not stop:
-        rows = [(i, p["nodes"][-1], p["nodes"]) for i, p in enumerate(level)]
-        open_ = spark.createDataFrame(rows, "i int, at string, seen array<string>")
+        deep = len(level[0]["types"]) >= max_depth
+        open_ = spark.createDataFrame([(i, p["nodes"][-1], p["nodes"]) for i, p in enumerate(level)], "i int, at string, seen array<string>")
         if ends is not None and direction != "incoming":
-            held = {r["at"] for r in ends.join(F.broadcast(open_.select("at").distinct()), F.col("id") == F.col("at")).select("at").collect()}
-        else:
-            held = set()
+            # at most max_states rows
+            open_ = open_.join(ends.select(F.col("id").alias("at")).distinct(), "at", "left_anti")
         nexts = adjacent.join(F.broadcast(open_), "at").where(~F.array_contains("seen", F.col("to")))
-        n_next = {r["i"]: r["n"] for r in nexts.groupBy("i").agg(F.count(F.lit(1)).alias("n")).collect()}
-        deep = len(level[0]["types"]) >= max_depth
-        going = [i for i in range(len(level)) if n_next.get(i) and not deep and level[i]["nodes"][-1] not in held]
-        room = max(0, max_states - enqueued)
-        wanted = nexts.where(F.col("i").isin(going[: room + 1])) if going else None
         found: dict[int, list] = {}
-        for r in wanted.orderBy("i", "edge").limit(room + 1).select("i", "edge", "type", "to").collect() if going else []:
-            found.setdefault(r["i"], []).append(r)
+        if deep:
+            found = {r["i"]: [r] for r in nexts.select("i").distinct().collect()}
+        else:
+            for r in nexts.orderBy("i", collated(F.col("edge"))).limit(max(0, max_states - out.enqueued) + 1).select("i", "edge", "type", "to").collect():
+                found.setdefault(r["i"], []).append(r)
         after: list[dict] = []
         for i, path in enumerate(level):
             if len(out.paths) >= max_paths:
                 out.path_limit, stop = True, True
                 break
-            if out.expanded >= max_states:
-                out.state_limit, stop = True, True
-                out.paths += _frontier(level[i:] + after, max_paths - len(out.paths), out)
-                break
             out.expanded += 1
-            more = n_next.get(i, 0)
-            if not more or deep or path["nodes"][-1] in held:
-                out.depth_limit |= bool(more) and deep
+            more = found.get(i, [])
+            if deep or not more:
+                out.depth_limit |= bool(more)
                 if len(path["nodes"]) > 1:
-                    out.paths.append(path | {"truncated": bool(more) and deep})
+                    out.paths.append(path | {"truncated": bool(more)})
                 continue
-            for r in found.get(i, []):
-                if enqueued >= max_states:
-                    break
+            taken = more[: max(0, max_states - out.enqueued)]
+            for r in taken:
                 out.nodes.add(r["to"])
                 out.edges.add(r["edge"])
                 after.append({"nodes": [*path["nodes"], r["to"]], "types": [*path["types"], r["type"]], "edges": [*path["edges"], r["edge"]]})
-                enqueued += 1
-                more -= 1
-            if more:
+            out.enqueued += len(taken)
+            if len(taken) < len(more):
                 out.state_limit, stop = True, True
-                out.paths += _frontier(level[i:] + after, max_paths - len(out.paths), out)
+                waiting = in_order(spark, [p for p in level[i:] + after if len(p["nodes"]) > 1])
+                room = max_paths - len(out.paths)
+                out.path_limit |= len(waiting) > room
+                out.paths += [p | {"truncated": True} for p in waiting[:room]]
                 break
         else:
             if len(out.paths) >= max_paths and after:
                 out.path_limit, stop = True, True
         level = after
-    out.paths.sort(key=lambda p: (-len(p["nodes"]), ",".join(p["nodes"])))
+    out.paths = in_order(spark, out.paths)
     return out
 
 
-def _frontier(waiting: list[dict], room: int, out: Trace) -> list[dict]:
-    """Unfinished paths after a state stop: the longest first, then by ids; each path once."""
-    seen, picked = {(tuple(p["nodes"]), tuple(p["edges"])) for p in out.paths}, []
-    for p in sorted((p for p in waiting if len(p["nodes"]) > 1), key=lambda p: (-len(p["nodes"]), ",".join(p["nodes"]))):
-        key = (tuple(p["nodes"]), tuple(p["edges"]))
-        if key not in seen:
-            seen.add(key)
-            picked.append(p | {"truncated": True})
-    out.path_limit |= len(picked) > room
-    return picked[:room]
+def merge(spark: SparkSession, a: Trace, b: Trace) -> Trace:
+    """Union of two directions: flags by or, limits by maximum, counters by sum; a path found twice counts once, and all are put in order again."""
+    paths = {(tuple(p["nodes"]), tuple(p["edges"])): p for p in [*a.paths, *b.paths]}
+    most = {k: max(getattr(a, k), getattr(b, k)) for k in ("max_states", "max_paths", "max_depth")}
+    return Trace(in_order(spark, list(paths.values())), a.nodes | b.nodes, a.edges | b.edges, a.expanded + b.expanded, a.enqueued + b.enqueued, a.state_limit or b.state_limit, a.path_limit or b.path_limit, a.depth_limit or b.depth_limit, **most)
 
 
-def merge(a: Trace, b: Trace) -> Trace:
-    """Union of two directions: flags by or, counters by sum; a path found twice counts once."""
-    paths = {(tuple(p["nodes"]), tuple(p["edges"])): p for p in [*a.paths, *b.paths]}
-    return Trace(list(paths.values()), a.nodes | b.nodes, a.edges | b.edges, a.expanded + b.expanded, a.state_limit or b.state_limit, a.path_limit or b.path_limit, a.depth_limit or b.depth_limit)
+def trace(nodes: DataFrame, edges: DataFrame, query: str, mode: str, ascii_only: bool = False) -> Trace:
+    """A trace by mode: search in the mode's node types, begin at the best matches, walk the mode's edges, both ways apart for the split modes.
+
+    warnings has no_match, or each limit that was reached (state_limit, path_limit, depth_limit).
+    """
+    types, direction, kinds = MODES[mode]
+    found = [r["id"] for r in search.starts(nodes, query, list(types), ascii_only).collect()]
+    if not found:
+        return Trace(warnings=["no_match"])
+    spark, ends = edges.sparkSession, nodes.where("type = 'table'").select("id")
+    if direction == "split":
+        out = merge(spark, *(traverse(edges, found, way, kinds, ends=ends) for way in ("incoming", "outgoing")))
+    else:
+        out = traverse(edges, found, direction, kinds, ends=ends)
+    out.matches, out.warnings = found, [w for w in ("state_limit", "path_limit", "depth_limit") if getattr(out, w)]
+    return out
+
+
+def trace_feature(nodes: DataFrame, edges: DataFrame, query: str) -> Trace:
+    """From any kind of node onwards."""
+    return trace(nodes, edges, query, "feature")
+
+
+def trace_url(nodes: DataFrame, edges: DataFrame, query: str) -> Trace:
+    """From a route onwards."""
+    return trace(nodes, edges, query, "url")
+
+
+def trace_statement(nodes: DataFrame, edges: DataFrame, query: str) -> Trace:
+    """From a mapped statement both ways."""
+    return trace(nodes, edges, query, "statement")
 
 
-def reach(edges: DataFrame, seeds: DataFrame, direction: str = "outgoing", types: tuple[str, ...] | None = None, rounds: int = 1000) -> DataFrame:
-    """(id, level): all nodes reachable from seeds (column id) with the least number of steps; each round joins only the newest nodes."""
+def trace_procedure(nodes: DataFrame, edges: DataFrame, query: str) -> Trace:
+    """From a stored procedure both ways."""
+    return trace(nodes, edges, query, "procedure")
+
+
+def trace_table(nodes: DataFrame, edges: DataFrame, query: str) -> Trace:
+    """Back from a table to what leads there."""
+    return trace(nodes, edges, query, "table")
+
+
+def reach(edges: DataFrame, seeds: DataFrame, direction: str = "outgoing", types: tuple[str, ...] | None = None) -> DataFrame:
+    """(id, level): all nodes reachable from seeds (column id) with the least number of steps; each round joins only the newest nodes, until there are none."""
     adjacent = steps(edges, direction, types).select("at", "to")
-    new = cut(seeds.select("id").distinct().withColumn("level", F.lit(0)))
-    seen = new
-    for k in range(1, rounds + 1):
-        new = cut(adjacent.join(new, adjacent["at"] == new["id"]).select(F.col("to").alias("id")).distinct().join(seen, "id", "left_anti").withColumn("level", F.lit(k)))
-        if new.isEmpty():
-            break
-        seen = cut(seen.unionByName(new))
-    return seen
+    seen, k = Rounds(seeds.select("id").distinct().withColumn("level", F.lit(0))), 0
+    while not seen.last.isEmpty():
+        k += 1
+        new = seen.last
+        seen.add(adjacent.join(new, adjacent["at"] == new["id"]).select(F.col("to").alias("id")).distinct().join(seen.all().select("id"), "id", "left_anti").withColumn("level", F.lit(k)))
+    return seen.all()
 
 
-def nearest(climb: DataFrame, hits: DataFrame, starts: DataFrame | None = None, rounds: int = 100) -> DataFrame:
+def nearest(climb: DataFrame, hits: DataFrame, starts: DataFrame | None = None) -> DataFrame:
     """The hits at the fewest steps up, for each start. Cycles end.
 
     climb: id, parent; hits: owner, found and perhaps name; starts: id and, with names, name (a hit
@@ -153,33 +199,26 @@ def nearest(climb: DataFrame, hits: DataFrame, starts: DataFrame | None = None,
     found and level.
     """
     starts = climb.select("id").distinct() if starts is None else starts
-    key = starts.columns
-    here = cut(starts.distinct().withColumn("at", F.col("id")).withColumn("level", F.lit(0)))
-    seen, out = here.select(*key, "at"), None
-    hits = hits.withColumnRenamed("owner", "at")
-    for k in range(rounds + 1):
-        got = here.join(hits, ["at", *([c for c in key if c != "id"])]).select(*key, "found", "level")
-        out = cut(got if out is None else out.unionByName(got))
-        open_ = here.join(out.select(*key).distinct(), key, "left_anti")
-        nxt = open_.join(climb.select(F.col("id").alias("at"), "parent"), "at").select(*key, F.col("parent").alias("at")).where("at is not null").distinct()
-        here = cut(nxt.join(seen, [*key, "at"], "left_anti").withColumn("level", F.lit(k + 1)))
-        if here.isEmpty():
-            break
-        seen = cut(seen.unionByName(here.select(*key, "at")))
-    return out
-
-
-def contexts(edges: DataFrame, seeds: DataFrame, reset: tuple[str, ...] = ("redirects_to",), rounds: int = 1000) -> DataFrame:
+    key, named = starts.columns, [c for c in starts.columns if c != "id"]
+    up, hits = climb.select(F.col("id").alias("at"), "parent"), hits.withColumnRenamed("owner", "at")
+    seen, k = Rounds(starts.distinct().withColumn("at", F.col("id")).withColumn("level", F.lit(0))), 0
+    while not seen.last.isEmpty():
+        k += 1
+        closed = seen.last.join(hits.select("at", *named).distinct(), ["at", *named]).select(*key).distinct()
+        higher = seen.last.join(closed, key, "left_anti").join(up, "at").where("parent is not null").select(*key, F.col("parent").alias("at")).distinct()
+        seen.add(higher.join(seen.all().select(*key, "at"), [*key, "at"], "left_anti").withColumn("level", F.lit(k)))
+    return seen.all().join(hits, ["at", *named]).select(*key, "found", "level")
+
+
+def contexts(edges: DataFrame, seeds: DataFrame, reset: tuple[str, ...] = ("redirects_to",)) -> DataFrame:
     """(id, route, page): contexts in which a node is arrived at; a resetting edge clears both. seeds has these three columns, '' for none."""
     moves = edges.select(F.col("source").alias("at"), F.col("target").alias("to"), "type")
-    seen = new = cut(seeds.select("id", "route", "page").distinct())
-    for _ in range(rounds):
-        keep = lambda c: F.when(F.col("type").isin(list(reset)), F.lit("")).otherwise(F.col(c)).alias(c)
-        new = cut(moves.join(new, moves["at"] == new["id"]).select(F.col("to").alias("id"), keep("route"), keep("page")).distinct().join(seen, ["id", "route", "page"], "left_anti"))
-        if new.isEmpty():
-            break
-        seen = cut(seen.unionByName(new))
-    return seen
+    keep = lambda c: F.when(F.col("type").isin(list(reset)), F.lit("")).otherwise(F.col(c)).alias(c)
+    seen = Rounds(seeds.select("id", "route", "page").distinct())
+    while not seen.last.isEmpty():
+        new = seen.last
+        seen.add(moves.join(new, moves["at"] == new["id"]).select(F.col("to").alias("id"), keep("route"), keep("page")).distinct().join(seen.all(), ["id", "route", "page"], "left_anti"))
+    return seen.all()
 
 
 def branch_paths(paths: DataFrame) -> DataFrame:
@@ -188,14 +227,14 @@ def branch_paths(paths: DataFrame) -> DataFrame:
     return paths.join(first, "rank", "left_semi")
 
 
-def claims(parents: DataFrame, puts: DataFrame, rounds: int = 100) -> DataFrame:
+def claims(parents: DataFrame, puts: DataFrame) -> DataFrame:
     """Effective puts of composed definitions: (id, name, value), the nearest definition up the chain wins, then the first in order. parents: id, parent; puts: owner, name, value, ord."""
-    chain = cut(puts.select(F.col("owner").alias("id")).union(parents.select("id")).distinct().select("id", F.col("id").alias("at"), F.lit(0).alias("level")))
-    seen = here = chain
-    for k in range(1, rounds + 1):
-        here = cut(here.join(parents.select(F.col("id").alias("at"), "parent"), "at").select("id", F.col("parent").alias("at")).where("at is not null").distinct().join(seen.select("id", "at"), ["id", "at"], "left_anti").withColumn("level", F.lit(k)))
-        if here.isEmpty():
-            break
-        seen = cut(seen.unionByName(here.select("id", "at", "level")))
+    ids = puts.select(F.col("owner").alias("id")).union(parents.select("id")).distinct()
+    seen, k = Rounds(ids.select("id", F.col("id").alias("at"), F.lit(0).alias("level"))), 0
+    while not seen.last.isEmpty():
+        k += 1
+        up = seen.last.join(parents.select(F.col("id").alias("at"), "parent"), "at").where("parent is not null").select("id", F.col("parent").alias("at")).distinct()
+        seen.add(up.join(seen.all().select("id", "at"), ["id", "at"], "left_anti").withColumn("level", F.lit(k)))
+    chain = seen.all()
     w = W.partitionBy("id", "name").orderBy("level", "ord")
-    return seen.join(puts, seen["at"] == puts["owner"]).withColumn("_rn", F.row_number().over(w)).where("_rn = 1").select("id", "name", "value")
+    return chain.join(puts, chain["at"] == puts["owner"]).withColumn("_rn", F.row_number().over(w)).where("_rn = 1").select("id", "name", "value")

@@ -46,12 +46,7 @@ def graph_edge_summary(spark, d):
 @query(f"""{star.WITH} SELECT (SELECT count(*) FROM edges e WHERE NOT EXISTS (SELECT 1 FROM nodes n WHERE n.id = e.source) OR NOT EXISTS (SELECT 1 FROM nodes n WHERE n.id = e.target)) AS orphans,
   (SELECT count(*) FROM (SELECT id FROM nodes GROUP BY id HAVING count(*) > 1)) AS node_repeats, (SELECT count(*) FROM (SELECT id FROM edges GROUP BY id HAVING count(*) > 1)) AS edge_repeats""")
 def graph_integrity(spark, d):
-    n, e = star.nodes(spark, d), star.edges(spark, d)
-    parts = [merge.orphan_edges(n, e).agg(_long("orphans")), merge.repeated_ids(n).agg(_long("node_repeats")), merge.repeated_ids(e).agg(_long("edge_repeats"))]
-    out = parts[0].withColumn("k", F.lit(0))
-    for p in parts[1:]:
-        out = out.join(p.withColumn("k", F.lit(0)), "k")
-    return out.drop("k")
+    return merge.integrity(star.nodes(spark, d), star.edges(spark, d))
 
 
 @query("SELECT l_partkey, l_suppkey, CAST(min(l_orderkey * 10 + l_linenumber) AS BIGINT) AS first_line FROM lineitem GROUP BY l_partkey, l_suppkey")
@@ -91,24 +86,24 @@ def _score_sql(term: str) -> str:
       WHEN contains(lower(id), '{term}') THEN 800 WHEN ({every}) THEN 500 ELSE 0 END"""
 
 
-@query(f"{star.WITH} SELECT id, type, CAST(score AS INTEGER) AS score FROM (SELECT id, type, {_score_sql('supplier')} AS score FROM nodes) WHERE score > 0 ORDER BY score DESC, id LIMIT 25")
+@query(f"{star.WITH} SELECT id, type, CAST(score AS INTEGER) AS score FROM (SELECT id, type, {_score_sql('supplier')} AS score FROM nodes) WHERE score > 0 ORDER BY score DESC, icu_sort_key(id, 'en') LIMIT 25")
 def search_nodes_topk(spark, d):
     return search.search(star.nodes(spark, d), "Supplier", ascii_only=True).select("id", "type", "score")
 
 
-@query(f"{star.WITH} SELECT id, type, CAST(score AS INTEGER) AS score FROM (SELECT id, type, {_score_sql('42')} AS score FROM nodes WHERE type IN ('part', 'customer')) WHERE score > 0 ORDER BY score DESC, id LIMIT 25")
+@query(f"{star.WITH} SELECT id, type, CAST(score AS INTEGER) AS score FROM (SELECT id, type, {_score_sql('42')} AS score FROM nodes WHERE type IN ('part', 'customer')) WHERE score > 0 ORDER BY score DESC, icu_sort_key(id, 'en') LIMIT 25")
 def search_typed_topk(spark, d):
     return search.search(star.nodes(spark, d), " 42 ", types=["part", "customer"], ascii_only=True).select("id", "type", "score")
 
 
-@query(f"""{star.WITH}, s AS (SELECT id, type, {_score_sql('1')} AS score FROM nodes), r AS (SELECT *, row_number() OVER (PARTITION BY type ORDER BY score DESC, id) AS rank, count(*) OVER (PARTITION BY type) AS n FROM s WHERE score > 0)
+@query(f"""{star.WITH}, s AS (SELECT id, type, {_score_sql('1')} AS score FROM nodes), r AS (SELECT *, row_number() OVER (PARTITION BY type ORDER BY score DESC, icu_sort_key(id, 'en')) AS rank, count(*) OVER (PARTITION BY type) AS n FROM s WHERE score > 0)
   SELECT id, type, CAST(score AS INTEGER) AS score, CAST(rank AS INTEGER) AS rank, n > 8 AS truncated FROM r WHERE rank <= 8""")
 def search_per_type_topk(spark, d):
     return search.per_type(star.nodes(spark, d), "1", ascii_only=True).select("id", "type", "score", "rank", "truncated")
 
 
-@query(f"""{star.WITH}, s AS (SELECT id, {_score_sql('1')} AS score FROM nodes), t AS (SELECT * FROM s WHERE score > 0 ORDER BY score DESC, id LIMIT 10)
-  SELECT id, CAST(score AS INTEGER) AS score FROM t WHERE score = (SELECT max(score) FROM t) ORDER BY id LIMIT 5""")
+@query(f"""{star.WITH}, s AS (SELECT id, {_score_sql('1')} AS score FROM nodes), t AS (SELECT * FROM s WHERE score > 0 ORDER BY score DESC, icu_sort_key(id, 'en') LIMIT 10)
+  SELECT id, CAST(score AS INTEGER) AS score FROM t WHERE score = (SELECT max(score) FROM t) ORDER BY icu_sort_key(id, 'en') LIMIT 5""")
 def trace_starts(spark, d):
     return search.starts(star.nodes(spark, d), "1", ascii_only=True).select("id", "score")
 
@@ -128,14 +123,30 @@ def _trace(spark, d, start, direction, kinds, depth, paths, states):
     return traverse.traverse(_edges(spark, d, kinds), [start], direction, None, depth, paths, states)
 
 
-def _paths(spark, t, whole_only=True):
-    rows = [(" > ".join(p["nodes"]), len(p["edges"]), bool(p.get("truncated"))) for p in t.paths]
-    return spark.createDataFrame(rows, "path string, steps int, truncated boolean")
+def _trace_sql(start, direction, kinds, depth, paths, states, select, tags=("t",)):
+    ways = {"t": direction, "a": "incoming", "b": "outgoing"}
+    parts = [star.trace_sql(star.edges_sql(kinds), f"SELECT '{start}' AS id, 0 AS idx", ways[t], depth, paths, states, t) for t in tags]
+    return f"WITH RECURSIVE {', '.join(parts)} {select(*tags)}"
+
+
+def _path_rows(t):
+    return [(" > ".join(p["nodes"]), len(p["edges"]), bool(p.get("truncated"))) for p in t.paths]
+
+
+def _paths(spark, t):
+    return spark.createDataFrame(_path_rows(t), "path string, steps int, truncated boolean")
 
 
 def _stats(spark, t):
-    complete = sum(not p.get("truncated") or t.depth_limit and not t.state_limit for p in t.paths)
-    return spark.createDataFrame([(t.expanded, t.state_limit, complete, t.depth_limit)], "expanded long, state_limit boolean, complete_paths long, depth_limit boolean")
+    return spark.createDataFrame([(t.expanded, t.enqueued, t.state_limit, t.path_limit, t.depth_limit)], "expanded long, enqueued long, state_limit boolean, path_limit boolean, depth_limit boolean")
+
+
+def _report(spark, t):
+    """A trace as rows: its paths, counters and warnings."""
+    rows = [("path", *r) for r in _path_rows(t)]
+    if t.matches:
+        rows += [("expanded", "", t.expanded, False), ("enqueued", "", t.enqueued, False)]
+    return spark.createDataFrame([*rows, *(("warning", w, 0, False) for w in t.warnings)], "what string, value string, steps int, truncated boolean")
 
 
 def _start_order(spark, d) -> str:
@@ -148,37 +159,85 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _paths(spark, _trace(spark, sf_dir, _start_order(spark, sf_dir), "outgoing", _ALL, 14, 100, 5000))
 
 
-@query(star.trace_sql("order:1", "outgoing", _ALL, 14, 100, 5000) + star.TRACE_PATHS)
+@query(_trace_sql("order:1", "outgoing", _ALL, 14, 100, 5000, star.paths_sql))
 def trace_outgoing(spark, d):
     return _paths(spark, _trace(spark, d, "order:1", "outgoing", _ALL, 14, 100, 5000))
 
 
-@query(star.trace_sql("part:1", "incoming", _ALL, 14, 100, 5000) + star.TRACE_PATHS)
+@query(_trace_sql("part:1", "incoming", _ALL, 14, 100, 5000, star.paths_sql))
 def trace_incoming(spark, d):
     return _paths(spark, _trace(spark, d, "part:1", "incoming", _ALL, 14, 100, 5000))
 
 
-@query(star.trace_sql("nation:1", "incoming", _UP, 14, 100000, 700) + star.TRACE_STATS)
+@query(_trace_sql("nation:1", "incoming", _UP, 14, 100000, 700, star.counters_sql))
 def trace_state_cap(spark, d):
     return _stats(spark, _trace(spark, d, "nation:1", "incoming", _UP, 14, 100000, 700))
 
 
-@query(star.trace_sql("nation:1", "incoming", _UP, 14, 40, 100000) + star.TRACE_STATS)
+@query(_trace_sql("nation:1", "incoming", _UP, 14, 40, 100000, star.counters_sql))
 def trace_path_cap(spark, d):
     return _stats(spark, _trace(spark, d, "nation:1", "incoming", _UP, 14, 40, 100000))
 
 
-@query(star.trace_sql("region:1", "incoming", _UP, 2, 100000, 100000) + star.TRACE_STATS)
+@query(_trace_sql("region:1", "incoming", _UP, 2, 100000, 100000, star.counters_sql))
 def trace_depth_cap(spark, d):
     return _stats(spark, _trace(spark, d, "region:1", "incoming", _UP, 2, 100000, 100000))
 
 
-@query(f"""WITH RECURSIVE edges AS ({star.edges_sql()}), up AS (SELECT 'nation:3' AS id UNION SELECT e.source FROM up JOIN edges e ON e.target = up.id), down AS (SELECT 'nation:3' AS id UNION SELECT e.target FROM down JOIN edges e ON e.source = down.id)
-  SELECT id, bool_or(u) AS upstream, bool_or(dn) AS downstream FROM (SELECT id, true AS u, false AS dn FROM up UNION ALL SELECT id, false, true FROM down) GROUP BY id""")
+@query(_trace_sql("nation:3", "split", _UP, 14, 100, 5000, star.trace_report_sql, ("a", "b")))
 def trace_split(spark, d):
-    e, seed = _edges(spark, d), spark.createDataFrame([("nation:3",)], "id string")
-    both = traverse.reach(e, seed, "incoming").select("id", F.lit(True).alias("u"), F.lit(False).alias("dn")).unionByName(traverse.reach(e, seed, "outgoing").select("id", F.lit(False).alias("u"), F.lit(True).alias("dn")))
-    return both.groupBy("id").agg(F.bool_or("u").alias("upstream"), F.bool_or("dn").alias("downstream"))
+    """Both directions apart, merged: paths once and in order, flags by or, counters by sum."""
+    e = _edges(spark, d, _UP)
+    t = traverse.merge(spark, *(traverse.traverse(e, ["nation:3"], way) for way in ("incoming", "outgoing")))
+    t.matches, t.warnings = ["nation:3"], [w for w in ("state_limit", "path_limit", "depth_limit") if getattr(t, w)]
+    return _report(spark, t)
+
+
+def _mode_sql(mode, term):
+    types, direction, kinds = traverse.MODES[mode]
+    listed = ", ".join(f"'{x}'" for x in types)
+    own = f"""app_nodes AS ({star.nodes_sql(star.APP_NODES)}), hits AS (SELECT id, {_score_sql(term.lower())} AS score FROM app_nodes WHERE type IN ({listed})),
+    top AS (SELECT * FROM hits WHERE score > 0 ORDER BY score DESC, icu_sort_key(id, 'en') LIMIT 10),
+    first AS (SELECT id, row_number() OVER (ORDER BY icu_sort_key(id, 'en')) AS idx FROM top WHERE score = (SELECT max(score) FROM top) ORDER BY icu_sort_key(id, 'en') LIMIT 5)"""
+    ways = {"split": {"a": "incoming", "b": "outgoing"}}.get(direction, {"t": direction})
+    edges = star.edges_sql(kinds, star.APP_EDGES)
+    parts = [star.trace_sql(edges, "SELECT id, idx FROM first", way, traverse.MAX_DEPTH, traverse.MAX_PATHS, traverse.MAX_STATES, tag) for tag, way in ways.items()]
+    return f"WITH RECURSIVE {own}, {', '.join(parts)} {star.trace_report_sql(*ways)}"
+
+
+def _mode(spark, d, mode, term):
+    nodes, edges = star.app(spark, d)
+    return _report(spark, traverse.trace(nodes, cut(edges), term, mode, ascii_only=True))
+
+
+@query(_mode_sql("feature", "Customer#000000011"))
+def trace_feature(spark, d):
+    return _mode(spark, d, "feature", "Customer#000000011")
+
+
+@query(_mode_sql("url", "route:1"))
+def trace_url(spark, d):
+    return _mode(spark, d, "url", "route:1")
+
+
+@query(_mode_sql("statement", "statement:7"))
+def trace_statement(spark, d):
+    return _mode(spark, d, "statement", "statement:7")
+
+
+@query(_mode_sql("procedure", "procedure:4"))
+def trace_procedure(spark, d):
+    return _mode(spark, d, "procedure", "procedure:4")
+
+
+@query(_mode_sql("table", "table:2"))
+def trace_table(spark, d):
+    return _mode(spark, d, "table", "table:2")
+
+
+@query("SELECT 'warning' AS what, 'no_match' AS value, 0 AS steps, false AS truncated")
+def trace_no_match(spark, d):
+    return _mode(spark, d, "table", "no such thing")
 
 
 @query(f"WITH RECURSIVE edges AS ({star.edges_sql()}), r AS (SELECT 'supplier:1' AS id, 0 AS level UNION SELECT e.source, r.level + 1 FROM r JOIN edges e ON e.target = r.id) SELECT id, CAST(min(level) AS INTEGER) AS level FROM r GROUP BY id")
@@ -191,7 +250,7 @@ def reachability_forward(spark, d):
     return traverse.reach(_edges(spark, d), spark.createDataFrame([("order:1",)], "id string"), "outgoing")
 
 
-@query("""WITH paths AS (SELECT l_orderkey, l_linenumber AS rank, [l_partkey, l_suppkey] AS nodes FROM lineitem WHERE l_orderkey <= 500), f AS (SELECT l_orderkey, node, min(rank) AS rank FROM (SELECT l_orderkey, rank, unnest(nodes) AS node FROM paths) GROUP BY 1, 2)
+@query("""WITH paths AS (SELECT l_orderkey, l_linenumber AS rank, [l_partkey, l_suppkey] AS nodes FROM lineitem), f AS (SELECT l_orderkey, node, min(rank) AS rank FROM (SELECT l_orderkey, rank, unnest(nodes) AS node FROM paths) GROUP BY 1, 2)
   SELECT p.l_orderkey, p.rank FROM paths p WHERE EXISTS (SELECT 1 FROM f WHERE f.l_orderkey = p.l_orderkey AND f.rank = p.rank)""")
 def alternate_branches(spark, d):
     li = star.read(spark, d, "lineitem")
@@ -275,8 +334,8 @@ _PATH = r"regexp_replace(url, '^[a-z]+://[^/]+|[?#].*$', '', 'g')"
 _SEGMENT = f"regexp_extract({_PATH}, '^(/[^/]*)', 1)"
 
 
-@query(f"""WITH u AS (SELECT page_id, {_PATH} AS url FROM pages), pat AS (SELECT DISTINCT {_SEGMENT} || '/*' AS pattern FROM pages UNION SELECT DISTINCT {_PATH} FROM pages WHERE page_id % 5 = 0)
-  SELECT DISTINCT page_id, url, pattern FROM u, pat WHERE (NOT ends_with(pattern, '*') AND url = pattern) OR (ends_with(pattern, '/*') AND (starts_with(url, left(pattern, length(pattern) - 1)) OR url || '/*' = pattern))""")
+@query(f"""WITH u AS (SELECT page_id, {_PATH} AS url FROM pages), pat AS (SELECT DISTINCT {_SEGMENT} || '/*' AS pattern FROM pages UNION SELECT DISTINCT {_PATH} FROM pages)
+  SELECT page_id, url, pattern FROM u JOIN pat ON url = pattern UNION SELECT page_id, url, pattern FROM u JOIN (SELECT pattern FROM pat WHERE ends_with(pattern, '/*')) ON starts_with(url, left(pattern, length(pattern) - 1))""")
 def prefix_route_match(spark, d):
     p = star.read(spark, d, "pages").select("page_id", F.regexp_replace("url", r"^[a-z]+://[^/]+|[?#].*$", "").alias("url"))
     patterns = p.select(F.concat(F.regexp_extract("url", "^(/[^/]*)", 1), F.lit("/*")).alias("pattern")).union(p.select("url")).distinct()
@@ -369,10 +428,21 @@ def web_path(spark, d):
     return star.read(spark, d, "pages").select("page_id", tx.web_path(F.regexp_replace("url", r"^[a-z]+://[^/]+|[?#].*$", "")).alias("path"))
 
 
-@query()
+_BASE = "regexp_replace(url, '^[a-z]+://[^/]+|[?#].*$', '', 'g')"
+_JOINED = "CASE WHEN path = '' THEN base WHEN starts_with(path, '/') THEN path ELSE regexp_replace(base, '[^/]*$', '') || path END"
+_FOLD = "list_reduce(list_prepend('', string_split(joined, '/')), lambda done, s: CASE WHEN s = '..' THEN regexp_replace(done, '/[^/]*$', '') WHEN s IN ('', '.') THEN done ELSE done || '/' || s END)"
+
+
+@query(rf"""WITH l AS (SELECT page_id, {_BASE} AS base, unnest(regexp_extract_all(html, '<a\s[^>]*href\s*=\s*"([^"]*)"', 1)) AS href FROM pages),
+  more AS (SELECT page_id, base, unnest(['', '../up', './x/../y/', '..', '?q=1', '#top', '//far/away', 'mailto:a@b', 'a/./b//c/']) AS href FROM (SELECT page_id, {_BASE} AS base FROM pages)),
+  p AS (SELECT *, regexp_extract(trim(href), '^[^?#]*') AS path FROM (SELECT * FROM l UNION ALL SELECT * FROM more)), j AS (SELECT *, {_JOINED} AS joined FROM p), f AS (SELECT *, {_FOLD} AS folded FROM j)
+  SELECT DISTINCT page_id, href, CASE WHEN starts_with(trim(href), '#') OR starts_with(trim(href), '//') OR regexp_matches(trim(href), '^[A-Za-z][A-Za-z0-9+.-]*:') OR regexp_matches(path, '[<>]') THEN NULL
+    ELSE CASE WHEN folded = '' THEN '/' ELSE folded END || CASE WHEN folded <> '' AND regexp_matches(joined, '(^|/)\.?\.?$') THEN '/' ELSE '' END END AS target FROM f""".replace(r"\s", r"\s"))
 def url_resolve(spark, d):
-    links = QUERIES["html_links"](spark, d).join(star.read(spark, d, "pages").select("page_id", F.regexp_replace("url", r"^[a-z]+://[^/]+|[?#].*$", "").alias("base")), "page_id")
-    return links.select("page_id", "href", tx.url_resolved("base", "href").alias("target")).distinct()
+    base = star.read(spark, d, "pages").select("page_id", F.regexp_replace("url", r"^[a-z]+://[^/]+|[?#].*$", "").alias("base"))
+    more = base.select("page_id", F.explode(F.array(*(F.lit(x) for x in ("", "../up", "./x/../y/", "..", "?q=1", "#top", "//far/away", "mailto:a@b", "a/./b//c/")))).alias("href"))
+    links = QUERIES["html_links"](spark, d).unionByName(more).join(base, "page_id")
+    return links.select("page_id", "href", tx.url_resolved(F.col("base"), F.col("href")).alias("target")).distinct()
 
 
 _SQL_TEXT = "concat('UPDATE t', n, ' SET a = 1 FROM [Dbo] . Orders', k, ' t', n, ' JOIN log.l', k, ' x ON x.id = t', n, '.id -- FROM no', n, ' WHERE y = ''FROM no''')"
@@ -398,7 +468,7 @@ def citations_extract(spark, d):
     return star.read(spark, d, "documents").select("doc_id", F.explode(tx.citations(F.concat("text", F.lit(" see src/a.java:"), F.col("doc_id").cast("string")))).alias("citation"))
 
 
-@query("SELECT d.doc_id, len(string_split(text, chr(10))) AS lines, d.doc_id % 40 AS cited, d.doc_id % 40 BETWEEN 1 AND len(string_split(text, chr(10))) AS valid FROM documents d WHERE text <> '' AND NOT contains(text, chr(13))")
+@query("SELECT d.doc_id, lines, d.doc_id % 40 AS cited, d.doc_id % 40 BETWEEN 1 AND lines AS valid FROM (SELECT doc_id, CAST(coalesce(len(regexp_split_to_array(text, '\\r\\n|\\r|\\n')), 0) AS BIGINT) AS lines FROM documents) d")
 def citations_validate(spark, d):
     n = tx.line_count(F.col("text")).cast("long")
     return star.read(spark, d, "documents").select("doc_id", n.alias("lines"), (F.col("doc_id") % 40).alias("cited"), (F.col("doc_id") % 40).between(1, n).alias("valid"))
@@ -472,7 +542,7 @@ def status_counts(spark, d):
     return star.read(spark, d, "events").groupBy(F.col("event_type").alias("status")).agg(_long("n"), F.count_if(F.col("value") > 50).alias("reused"))
 
 
-@query("SELECT event_id, event_type, CAST(row_number() OVER (ORDER BY event_type, user_id, event_id) AS INTEGER) AS position FROM events WHERE event_id % 10 = 0 ORDER BY position LIMIT 200")
+@query("SELECT event_id, event_type, CAST(row_number() OVER (ORDER BY event_type, user_id, event_id) AS INTEGER) AS position FROM events")
 def diagnostics_order(spark, d):
     placed = budget.positions(star.read(spark, d, "events").select("event_id", "event_type", "user_id"), ["event_type", "user_id", "event_id"])
     return placed.select("event_id", "event_type", F.col("position").cast("int").alias("position"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -15,9 +16,10 @@ from weftline.plans.resolve import Graph
 
 # Caps of the model, edge types of a flow, node types that make a branch.
 STEPS, ALTERNATES, TRIGGERS, TABLES, USE_CASES, PAGES, ACTIONS, ARRIVALS = 24, 8, 20, 20, 200, 200, 40, 20
-FLOW = ("maps_to", "dispatches_to", "calls", "calls_procedure", "implemented_by", "uses_statement", "reads_from", "writes_to", "forwards_to", "redirects_to", "uses_tile", "uses_template", "puts", "extends_tile")
+FLOW = ("maps_to", "dispatches_to", "forwards_to", "redirects_to", "uses_tile", "calls", "calls_procedure", "implements", "implemented_by", "uses_statement", "reads_from", "writes_to", "extends", "extends_tile", "uses_template", "puts")
 TRIGGER = ("submits_to", "links_to", "requests")
-BRANCH = ("java_method", "statement", "procedure", "table", "page")
+BRANCH = ("java_type", "java_method", "page", "route", "tiles_definition", "statement", "procedure", "table")
+ARRIVAL = ("forwards_to", "redirects_to", "includes", "uses_tile", "puts", "uses_template")
 OUTCOME = ("forwards_to", "redirects_to", "uses_tile")
 
 
@@ -119,7 +121,7 @@ def build(graph: Graph, facts: DataFrame | None = None, scope_query: str | None
     cases = cut(cases.withColumns({"confidence": F.coalesce("confidence", F.lit(1.0)), "main_flow": F.coalesce("main_flow", F.array("start")), "flow_truncated": F.coalesce("flow_truncated", F.lit(False)), "statements": none(F.col("statements"), "array<string>"), "use_cases_truncated": F.lit(all_routes > USE_CASES)}))
 
     on_page = asked.select(F.col("source").alias("id"), F.col("target").alias("route")).distinct()
-    arrive = graph.edges.where(F.col("type").isin("forwards_to", "redirects_to") & F.col("target").startswith("page:")).select(F.col("target").alias("id"), F.col("source").alias("route")).distinct()
+    arrive = graph.edges.where(F.col("type").isin(*ARRIVAL) & F.col("target").startswith("page:")).select(F.col("target").alias("id"), F.col("source").alias("route")).distinct()
     acts = budget.capped(on_page, "id", ["route"], ACTIONS).groupBy("id").agg(F.array_sort(F.collect_list("route")).alias("actions"))
     comes = budget.capped(arrive, "id", ["route"], ARRIVALS).groupBy("id").agg(F.array_sort(F.collect_list("route")).alias("arrivals"))
     pages = nodes.where("type = 'page'").join(acts, "id", "left").join(comes, "id", "left").orderBy("name").limit(PAGES)
@@ -141,7 +143,7 @@ def technical_evidence(graph: Graph, query: str, per_type: int = 8, starts: int
     found = search.per_type(graph.nodes, query, per_type).orderBy(F.desc("score"), "id").limit(starts)
     ids = [r["id"] for r in found.select("id").collect()]
     types = (*FLOW, *TRIGGER, "includes", "loads_script", "declares", "implements")
-    both = traverse.merge(*(traverse.traverse(graph.edges, ids, way, types, 20, 200, 10_000) for way in ("outgoing", "incoming"))) if ids else traverse.Trace()
+    both = traverse.merge(graph.nodes.sparkSession, *(traverse.traverse(graph.edges, ids, way, types, 20, 200, 10_000) for way in ("outgoing", "incoming"))) if ids else traverse.Trace()
     spark = graph.nodes.sparkSession
     keep = lambda df, found: df.join(F.broadcast(spark.createDataFrame([(i,) for i in sorted(found)] or [("",)], "id string")), "id", "left_semi")  # noqa: E731  bounded by the traversal's limits
     nodes, edges = keep(graph.nodes, both.nodes), keep(graph.edges, both.edges)
@@ -149,28 +151,62 @@ def technical_evidence(graph: Graph, query: str, per_type: int = 8, starts: int
     return {"matches": found, "nodes": nodes, "edges": edges, "files": files, "trace": both}
 
 
-# Headings that a technical document must have once each.
-HEADINGS = ("Purpose", "Entry points", "Flow", "Data access", "Inputs", "Outcomes", "Configuration", "Open questions")
+# Headings that a technical document must have once each, and the mark of a section without proof.
+HEADINGS = (
+    "## 1. Overview",
+    "## 2. Workflow Stages",
+    "## 3. Database Tables",
+    "## 4. Class Architecture",
+    "## 5. Data Flow",
+    "## 6. Business Rules",
+    "## 7. Error Messages and Lookups",
+    "## 8. Evidence Gaps",
+)
+OPEN_MARK = "Needs verification"
+_CITED = re.compile(r"`([^`\n]+?):([0-9]+)`|(?<![\w./-])([\w./-]*[\w-]\.\w+):([0-9]+)")
+
+
+def shown_lines(text: str) -> list[str]:
+    """Lines outside fenced code; fence lines and what they hold are empty."""
+    out, fence = [], ""
+    for line in re.split(r"\r\n|\r|\n", text):
+        mark = (m := re.match(r" {0,3}(`{3,}|~{3,})", line)) and m[1] or ""
+        inside = bool(fence)
+        if not fence:
+            fence = mark
+        elif mark[:1] == fence[0] and len(mark) >= len(fence) and not line.strip().strip(fence[0]):
+            fence = ""
+        out.append("" if inside or mark else line)
+    return out
+
 
+def cited(text: str) -> list[tuple[str, int]]:
+    """(path, line) of all citations, in back-ticks or bare, in order; none is found twice at a place."""
+    return [(m[1] or m[3], int(m[2] or m[4])) for m in _CITED.finditer(text)]
 
-def check_document(text: str, line_counts: dict[str, int]) -> list[str]:
-    """What is wrong with a written document: headings that miss or repeat, sections without a citation or a marker, citations of unknown files or lines."""
-    import re
 
-    out = []
-    parts = re.split(r"(?m)^##\s+(.+?)\s*$", text)
-    sections = list(zip(parts[1::2], parts[2::2], strict=True))
+def check_document(text: str, line_counts: dict[str, int], allowed: set[str] | None = None) -> list[str]:
+    """What is wrong with a written document: headings that miss or repeat, sections without a citation or the mark, no citation at all, citations of unsafe, unknown or other files, lines that a file does not have. Fenced code counts for nothing."""
+    lines, out = shown_lines(text), []
     for h in HEADINGS:
-        own = [body for name, body in sections if name == h]
-        if len(own) != 1:
-            out.append(f"heading {h}: {len(own)} times")
-        elif not re.search(r"[\w./-]+\.\w+:\d+", own[0]) and "not found in sources" not in own[0].lower():
-            out.append(f"section {h}: no citation")
-    for path, line in re.findall(r"([\w./-]+\.\w+):(\d+)", text):
-        if path.startswith("/") or ".." in path.split("/"):
+        at = [i for i, line in enumerate(lines) if line == h]
+        if len(at) != 1:
+            out.append(f"heading {h}: {len(at)} times")
+        if at:
+            end = next((i for i in range(at[0] + 1, len(lines)) if re.match(r"##\s", lines[i])), len(lines))
+            body = "\n".join(lines[at[0] + 1 : end])
+            if not cited(body) and not re.search(rf"\b{OPEN_MARK}\b", body):
+                out.append(f"section {h}: no citation")
+    found = cited("\n".join(lines))
+    if not found:
+        out.append("no citation")
+    for path, line in found:
+        if path.startswith("/") or "\\" in path or re.match("[A-Za-z]:", path) or ".." in path.split("/"):
             out.append(f"unsafe path {path}")
+        elif allowed is not None and path not in allowed:
+            out.append(f"file outside the evidence {path}")
         elif path not in line_counts:
             out.append(f"unknown file {path}")
-        elif not 1 <= int(line) <= line_counts[path]:
+        elif not 1 <= line <= line_counts[path]:
             out.append(f"line {line} beyond {path}")
     return out

@@ -12,7 +12,7 @@ from . import java, properties, sql, web, xml
 from .base import FACTS, Facts
 
 #: A new version of any parser makes cached facts of all files stale.
-VERSION = "1"
+VERSION = "2"
 PARSERS: dict[str, Callable[[str], Facts]] = {"java": java.parse, "jsp": web.parse, "javascript": web.parse_script, "xml": xml.parse, "sql": sql.parse, "properties": properties.parse}
 _COLUMNS = ["path", "sha256", "parser_version", "kind", "ord", "line", "col", "snippet", "data"]
 SCHEMA = f"path string, sha256 string, parser_version string, {FACTS}"

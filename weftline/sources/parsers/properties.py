@@ -18,7 +18,7 @@ def _decode(text: str) -> str:
 
 def parse(text: str) -> Facts:
     """Entries key, value; a line that ends in an odd number of backslashes goes on in the next."""
-    out = Facts(Source(text))
+    out = Facts(Source(text, cr=True))
     lines = list(re.finditer(r"([^\r\n]*)(\r\n|\n|\r|\Z)", text))
     k = n = 0
     while k < len(lines):
