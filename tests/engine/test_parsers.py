@@ -1,6 +1,6 @@
 """What the parsers read from small sources, and what they leave out."""
 
-from weftline.sources.parsers import java, sql, xml
+from weftline.sources.parsers import java, sql, web, xml
 from weftline.sources.parsers.base import Source
 
 
@@ -147,3 +147,20 @@ def test_xml_configurations():
     for odd in ("", "<", "<a", "</a>", "<beans", "<beans><bean", "<!-- x", "<![CDATA[ y", "<a><b></a></b>"):
         xml.parse(odd)
     assert [x[0] for x in data(xml.parse("<beans><!-- x"), "warning", "code")] == ["unclosed-root", "unclosed-section"]
+
+
+def test_scripts():
+    text = """// fetch('/no.do') http://x
+var s = "fetch('/no2.do')"; var r = /fetch('\\/no3')/g; x = a / b; /* fetch('/no4') */
+fetch('/a?x=1', {method: 'POST', headers: {method: "PUT"}}); window.fetch("/b"); fetch(url); fetch('/c' + x);
+xhr.open('PUT', '/d', true); $.ajax({url: "/e", ...more}); jQuery.ajax({...o, url: "/f", type: "post"}); $.ajax({"url": '/g', method: m});
+fetch(`/t`); fetch(`/${t}`); fetch('http://ext/x'); function fetch(a) {} fetch('/h', {...o});
+"""
+    f = web.parse_script(text)
+    assert data(f, "request", "kind", "url", "method") == [("fetch", "/a", "POST"), ("fetch", "/b", "GET"), ("xhr", "/d", "PUT"), ("ajax", "/f", "POST"), ("ajax", "/g", ""), ("fetch", "/t", "GET"), ("fetch", "/h", "")]
+    for odd in ("", "/", "fetch(", "fetch('", "$.ajax({", "`", "a/", "'\\", "//", "/*"):
+        web.parse_script(odd)
+
+
+def test_entities():
+    assert web.decoded("&amp;&#65;&#x42;&nbsp;&#0;&#xD800;&LT;&copy;&#1114112;") == "&AB&nbsp;\ufffd\ufffd<&copy;\ufffd"

@@ -71,6 +71,30 @@ def _clear() -> None:
             return
 
 
+def _fs(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _fs(spark, path)
+    return fs.exists(p)
+
+
+def replace_table(df: DataFrame, path: str) -> None:
+    """Write a table beside its place and then put it there: readers see the old one or the new one."""
+    spark, own = df.sparkSession, f"{path}.{uuid.uuid4().hex}"
+    try:
+        df.write.parquet(own)
+        fs, p = _fs(spark, path)
+        fs.delete(p, True)
+        if not fs.rename(_fs(spark, own)[1], p):
+            raise OSError(f"could not put {path} in its place")
+    finally:
+        fs, p = _fs(spark, own)
+        fs.delete(p, True)
+
+
 class Rounds:
     """A table that grows by the rows of each round of a loop: a round is written once, and earlier ones are only read."""
 

@@ -38,6 +38,12 @@ def path_is_safe(path: Column) -> Column:
     return ~(path.startswith("/") | path.rlike(r"^[A-Za-z]:") | path.contains("\0") | F.exists(F.split(path, "/"), lambda p: p.isin("..", ".", "")))
 
 
+def path_is_strict(path: Column) -> Column:
+    """Safe, and a name that every system takes: no control or special characters, no reserved device names, no part that ends in a dot or blank or is longer than 255."""
+    bad = lambda p: p.rlike(r'[\x00-\x1f<>:"|?*\\]') | p.rlike(r"[. ]$") | (F.length(p) > 255) | F.lower(F.regexp_extract(p, r"^[^.]*", 0)).isin(*RESERVED)
+    return path_is_safe(path) & ~F.exists(F.split(path, "/"), bad)
+
+
 def web_path(path: Column) -> Column:
     """The part after the first web root that a path holds, from /; the whole path from / without one."""
     found = F.coalesce(*(F.when(F.locate(r, path) > 0, F.substring(path, F.locate(r, path) + len(r), F.length(path))) for r in WEB_ROOTS), path)

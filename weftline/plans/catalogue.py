@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from weftline.functions import text as tx
 from weftline.functions.scratch import cut
 from weftline.operators import budget, match, merge, search, traverse
 from weftline.plans import star
+from weftline.sources.parsers import web
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -304,9 +306,10 @@ def tiered_name_resolution(spark, d):
     return match.tiered(refs, "ref", [full, name, refs.select("ref", F.concat(F.lit("brand:"), "p_brand").alias("target"))])
 
 
-@query("SELECT c_custkey, c_name FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)")
+@query("SELECT c_custkey, c_name FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderpriority = '1-URGENT')")
 def unresolved_warnings(spark, d):
-    return match.missing(star.read(spark, d, "customer").select("c_custkey", "c_name"), star.read(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+    urgent = star.read(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
+    return match.missing(star.read(spark, d, "customer").select("c_custkey", "c_name"), urgent, "c_custkey")
 
 
 @query("SELECT l_partkey AS key, count(DISTINCT l_suppkey) AS n, CASE WHEN count(DISTINCT l_suppkey) = 1 THEN min(l_suppkey) END AS value FROM lineitem GROUP BY l_partkey")
@@ -417,10 +420,19 @@ def html_visible_text(spark, d):
     return star.read(spark, d, "pages").select("page_id", F.trim(F.regexp_replace(F.regexp_replace("html", _VISIBLE, " "), r"\s+", " ")).alias("visible"))
 
 
-@query("SELECT page_id, len(regexp_extract_all(lower(html), '<(?:input|select|textarea|button)\\b')) AS fields, len(regexp_extract_all(lower(html), '<form\\b')) AS forms FROM pages")
+# Fields put before each page, and what is read of them: name, type, default, URL of the form.
+_FORM = """<form id="f" action="/save.do?x=1" method="post"><input name="a%s" value="v&amp;1"/><select name="s"><option>q</option></select><textarea name=t></textarea><input type="checkbox" name="c" disabled/></form><!-- <input name="no"/> --><input form="f" name="late"/><input name="loose" type="hidden" value="${x}"/>"""
+_FIELDS = (("concat('a', CAST(page_id AS VARCHAR))", "input", "v&1", "/save.do"), ("'s'", "select", "", "/save.do"), ("'t'", "textarea", "", "/save.do"), ("'c'", "checkbox", "", "/save.do"), ("'late'", "input", "", "/save.do"), ("'loose'", "hidden", "", ""))
+
+
+@query(" UNION ALL ".join(f"SELECT page_id, {n} AS name, '{t}' AS type, '{v}' AS value, '{u}' AS url FROM pages" for n, t, v, u in _FIELDS))
 def html_fields(spark, d):
-    n = lambda p: F.size(F.regexp_extract_all(F.lower("html"), F.lit(p), F.lit(0))).cast("long")
-    return star.read(spark, d, "pages").select("page_id", n(r"<(?:input|select|textarea|button)\b").alias("fields"), n(r"<form\b").alias("forms"))
+    def fields(batches):
+        for b in batches:
+            rows = [(i, f[5]["name"], f[5]["type"], f[5]["default"], f[5]["url"]) for i, html in zip(b["page_id"], b["html"], strict=True) for f in web.parse((_FORM % i) + (html or "")).rows if f[0] == "field"]
+            yield pd.DataFrame(rows, columns=["page_id", "name", "type", "value", "url"])
+
+    return star.read(spark, d, "pages").select("page_id", "html").mapInPandas(fields, "page_id long, name string, type string, value string, url string")
 
 
 @query(f"""SELECT page_id, CASE WHEN contains({_PATH}, 'web/') THEN '/' || regexp_replace(split_part({_PATH}, 'web/', 2), '^/+', '') ELSE '/' || regexp_replace({_PATH}, '^/+', '') END AS path FROM pages""")
@@ -445,19 +457,37 @@ def url_resolve(spark, d):
     return links.select("page_id", "href", tx.url_resolved(F.col("base"), F.col("href")).alias("target")).distinct()
 
 
-_SQL_TEXT = "concat('UPDATE t', n, ' SET a = 1 FROM [Dbo] . Orders', k, ' t', n, ' JOIN log.l', k, ' x ON x.id = t', n, '.id -- FROM no', n, ' WHERE y = ''FROM no''')"
+# Statements of each kind over the parts: kind, text, tables written and read ({n}: the part's key, {k}: its size).
+_STATEMENTS = (
+    ("update", "UPDATE x SET a = 1 FROM [Dbo] . Orders{k} x JOIN log.l{k} y ON y.id = x.id -- FROM no{n}", "dbo.orders{k}", "log.l{k}"),
+    ("insert", "INSERT INTO t{n} SELECT * FROM s{k} WHERE y = ''FROM no'' /* JOIN no */", "t{n}", "s{k}"),
+    ("delete", "DELETE q FROM big.t{k} AS q INNER JOIN r{n} ON 1 = 1", "big.t{k}", "r{n}"),
+    ("select", "WITH c AS (SELECT * FROM a{n}) SELECT * FROM c JOIN b{k} z ON 1 = 1", "", "a{n},b{k}"),
+    ("update", "MERGE INTO m{k} USING u{n} s ON 1 = 1 WHEN MATCHED THEN UPDATE SET a = 1", "m{k}", "u{n}"),
+    ("statement", "DELETE FROM d{n}; UPDATE e{k} SET x = 1; INSERT INTO f{n} SELECT * FROM g{k}", "d{n},e{k},f{n}", "g{k}"),
+)
 
 
-@query("""SELECT p_partkey, 'dbo.orders' || CAST(p_size AS VARCHAR) AS writes, 'log.l' || CAST(p_size AS VARCHAR) AS reads FROM part""")
+def _by_part(column: int) -> str:
+    whens = " ".join(f"WHEN {i} THEN replace(replace('{s[column]}', '{{n}}', CAST(p_partkey AS VARCHAR(20))), '{{k}}', CAST(p_size AS VARCHAR(20)))" for i, s in enumerate(_STATEMENTS))
+    return f"CASE p_partkey % {len(_STATEMENTS)} {whens} END"
+
+
+@query(f"SELECT p_partkey, {_by_part(2)} AS writes, {_by_part(3)} AS reads FROM part")
 def sql_table_lineage(spark, d):
-    p = star.read(spark, d, "part").select("p_partkey", F.expr(_SQL_TEXT.replace(", n,", ", cast(p_partkey as string),").replace(", k,", ", cast(p_size as string),")).alias("sql"))
-    found = p.select("p_partkey", tx.sql_tables(F.col("sql"), F.lit("update")).alias("t"))
+    # a literal's doubled quotes are Spark's escape \\'
+    as_spark = lambda c: F.expr(_by_part(c).replace("''FROM no''", "\\\\'FROM no\\\\'"))
+    p = star.read(spark, d, "part").select("p_partkey", as_spark(0).alias("kind"), as_spark(1).alias("sql"))
+    found = p.select("p_partkey", tx.sql_tables("sql", "kind").alias("t"))
     return found.select("p_partkey", F.array_join("t.writes", ",").alias("writes"), F.array_join("t.reads", ",").alias("reads"))
 
 
-@query("SELECT p_partkey, lower('db.' || p_brand) AS name FROM part")
+_NAME = "CASE p_partkey % 4 WHEN 0 THEN concat(' [DB] . `', p_brand, '\"') WHEN 1 THEN concat('dbo.[', p_brand, '] ') WHEN 2 THEN concat('\"A\" .\"b\". c', CAST(p_partkey AS VARCHAR(20))) ELSE p_brand END"
+
+
+@query(rf"""SELECT p_partkey, lower(trim(regexp_replace(regexp_replace({_NAME}, '[\[\]`"'']', '', 'g'), '\s*\.\s*', '.', 'g'))) AS name FROM part""")
 def sql_identifier_norm(spark, d):
-    return star.read(spark, d, "part").select("p_partkey", tx.table_name(F.concat(F.lit(" [DB] . `"), "p_brand", F.lit('"'))).alias("name"))
+    return star.read(spark, d, "part").select("p_partkey", tx.table_name(F.expr(_NAME)).alias("name"))
 
 
 # --- documents: citations, budgets, batches, fingerprints, text safety
@@ -501,9 +531,13 @@ def fingerprint_reuse(spark, d):
     return docs.join(old, "doc_id", "left").groupBy(F.when(F.col("old_h").isNull(), "new").when(F.col("old_h") == F.col("h"), "reused").otherwise("parsed").alias("status")).agg(_long("n"))
 
 
-@query("SELECT doc_id, trim(regexp_replace(text, '[\\x00-\\x1f\\x7f]+', ' ', 'g')) AS plain FROM documents")
+#: Characters of each kind that a plain text does not keep: format, separators of lines and paragraphs, control.
+_UNSAFE = "\u200b\u200ba\u00ad\u2028\u2029b\x7f\ufeffc\x85"
+
+
+@query(f"SELECT doc_id, trim(regexp_replace(concat(text, '{_UNSAFE}'), '[\\p{{Cc}}\\p{{Cf}}\\p{{Zl}}\\p{{Zp}}]+', ' ', 'g')) AS plain FROM documents")
 def text_safety(spark, d):
-    return star.read(spark, d, "documents").select("doc_id", F.trim(tx.plain_text(F.col("text"))).alias("plain"))
+    return star.read(spark, d, "documents").select("doc_id", F.trim(tx.plain_text(F.concat("text", F.lit(_UNSAFE)))).alias("plain"))
 
 
 @query("""SELECT doc_id, count(*) AS chunks, CAST(sum(length(c)) AS BIGINT) AS chars FROM (SELECT DISTINCT doc_id, substr(text, CAST(i * 900 + 1 AS INTEGER), 1000) AS c FROM documents, LATERAL (SELECT unnest(range(0, greatest(1, CAST(ceil((length(text) - 100) / 900.0) AS BIGINT)))) AS i)) GROUP BY doc_id""")
@@ -512,18 +546,23 @@ def text_chunking(spark, d):
     return star.read(spark, d, "documents").select("doc_id", F.size(pieces).cast("long").alias("chunks"), F.aggregate(pieces, F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("chars"))
 
 
-@query("SELECT p_partkey, p_type, regexp_replace(regexp_replace(lower(trim(p_type)), '[^\\p{L}\\p{N}]+', '-', 'g'), '^-+|-+$', '', 'g') || '--' || left(sha256(p_type), 16) AS slug FROM part")
+_SCOPE = "CASE p_partkey % 6 WHEN 0 THEN p_type WHEN 1 THEN concat(p_type, ' / ', p_name, ' (', p_brand, ') and a long tail of words beyond it') WHEN 2 THEN concat(CASE WHEN p_partkey % 4 = 0 THEN 'Com' ELSE 'lpt' END, CAST(p_partkey % 14 AS VARCHAR(20))) WHEN 3 THEN lower(replace(p_name, ' ', '-')) WHEN 4 THEN concat('***', CASE WHEN p_partkey % 8 = 4 THEN '' ELSE ' x' END) ELSE '  ' END"
+
+
+@query(f"""WITH t AS (SELECT p_partkey, lower(trim({_SCOPE})) AS t FROM part), r AS (SELECT *, coalesce(nullif(regexp_replace(regexp_replace(t, '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'scope') AS readable FROM t)
+  SELECT p_partkey, CASE WHEN t = '' THEN 'scope' WHEN regexp_full_match(t, '[a-z0-9]+(-[a-z0-9]+)*') AND length(t) <= 48 AND NOT regexp_full_match(t, 'con|prn|aux|nul|com[1-9]|lpt[1-9]') THEN t
+    ELSE coalesce(nullif(regexp_replace(left(readable, 30), '-+$', ''), ''), 'scope') || '--' || left(sha256(t), 16) END AS slug FROM r""")
 def scope_slug(spark, d):
-    return star.read(spark, d, "part").select("p_partkey", "p_type", tx.slug(F.col("p_type")).alias("slug"))
+    return star.read(spark, d, "part").select("p_partkey", tx.slug(F.expr(_SCOPE)).alias("slug"))
 
 
 # --- sets, sources, statuses
 
 
-@query("SELECT l_partkey AS p_partkey FROM (SELECT DISTINCT l_partkey FROM lineitem WHERE l_returnflag = 'A' EXCEPT SELECT DISTINCT l_partkey FROM lineitem WHERE l_returnflag = 'R')")
+@query("SELECT l_partkey, l_suppkey FROM lineitem WHERE l_returnflag = 'A' EXCEPT SELECT l_partkey, l_suppkey FROM lineitem WHERE l_returnflag = 'R'")
 def set_difference(spark, d):
     li = star.read(spark, d, "lineitem")
-    return li.where("l_returnflag = 'A'").select("l_partkey").subtract(li.where("l_returnflag = 'R'").select("l_partkey")).withColumnRenamed("l_partkey", "p_partkey")
+    return li.where("l_returnflag = 'A'").select("l_partkey", "l_suppkey").subtract(li.where("l_returnflag = 'R'").select("l_partkey", "l_suppkey"))
 
 
 @query("SELECT (SELECT count(*) FROM (SELECT o_orderkey FROM orders EXCEPT SELECT l_orderkey FROM lineitem)) AS only_orders, (SELECT count(*) FROM (SELECT l_orderkey FROM lineitem EXCEPT SELECT o_orderkey FROM orders)) AS only_lines")

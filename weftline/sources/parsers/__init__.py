@@ -19,7 +19,7 @@ SCHEMA = f"path string, sha256 string, parser_version string, {FACTS}"
 
 
 def facts(files: DataFrame, parsers: dict[str, Callable[[str], Facts]] | None = None) -> DataFrame:
-    """Facts of all parsed files, one row each; a file that its parser can't read gives one `error` row and others go on."""
+    """Facts of all parsed files, one row each; a file that its parser can't read gives one `error` row and others go on. Each file has a row `file` too, so one without facts is known to be parsed."""
     use = parsers or PARSERS
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -30,7 +30,7 @@ def facts(files: DataFrame, parsers: dict[str, Callable[[str], Facts]] | None =
                     found = use[language](bytes(content).decode("utf-8", "replace")).rows
                 except Exception as e:  # one bad file must not end the job
                     found = [("error", 0, 1, 1, "", {"message": re.sub(r"(?:[A-Za-z]:)?/[^\s'\"]+", "<path>", str(e))[:500], "type": type(e).__name__})]
-                rows += [(path, digest, VERSION, *f) for f in found]
+                rows += [(path, digest, VERSION, *f) for f in (("file", -1, 1, 1, "", {"language": language}), *found)]
             yield pd.DataFrame(rows, columns=_COLUMNS)
 
     return files.where("status = 'parsed'").select("path", "language", "sha256", "content").mapInPandas(run, SCHEMA)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import html
 import re
 
 from .base import Facts, Source, blank
@@ -17,14 +16,34 @@ _SCRIPT = re.compile(r"<script\b([^>]*)>(.*?)</script\s*>", re.S | re.I)
 _STYLE = re.compile(r"<style\b.*?</style\s*>", re.S | re.I)
 _TAG = re.compile(r"<(/?)([A-Za-z][\w:.-]*)((?:\s+(?:[\w:.@-]+(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?|<[^>]*>))*)\s*(/?)>", re.S)
 _ATTRIBUTE = re.compile(r"([\w:.@-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.S)
-_JS_HIDDEN = re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)", re.S)
-_STRING = r"([\"'`])((?:\\.|(?!\1).)*?)\1"
+_JS = re.compile(
+    r"(?P<skip>\s+|//[^\r\n]*|/\*.*?(?:\*/|\Z)|<!--[^\r\n]*)|(?P<string>\"(?:\\.|[^\"\\\r\n])*\"?|'(?:\\.|[^'\\\r\n])*'?|`(?:\\.|[^`\\])*`?)"
+    r"|(?P<word>[A-Za-z_$][A-Za-z0-9_$]*)|(?P<number>[0-9][A-Za-z0-9_.]*)|(?P<op>\.\.\.|=>|.)",
+    re.S,
+)
+_JS_REGEX = re.compile(r"/(?:\\.|\[(?:\\.|[^\]\\\r\n])*\]|[^/\\\[\r\n])+/[a-z]*")
+#: Words after which a slash begins a regular expression.
+_JS_BEFORE = {"return", "typeof", "case", "in", "of", "delete", "void", "instanceof", "new", "throw", "else", "do"}
+# Entities that are decoded by name.
+ENTITIES = {"amp": "&", "apos": "'", "gt": ">", "lt": "<", "quot": '"'}
 _CONTEXT = re.compile(r"^(?:\$\{pageContext\.request\.contextPath\}|<%=\s*request\.getContextPath\(\)\s*%>)")
 _DYNAMIC = re.compile(r"\$\{|#\{|<%|%\{")
 
 
+def decoded(text: str) -> str:
+    """Five named entities and numeric ones; a number that is no character becomes U+FFFD, other names stay."""
+
+    def one(m: re.Match) -> str:
+        if m[3]:
+            return ENTITIES.get(m[3].lower(), m[0])
+        n = int(m[1]) if m[1] else int(m[2], 16)
+        return chr(n) if 0 < n <= 0x10FFFF and not 0xD800 <= n <= 0xDFFF else "\ufffd"
+
+    return re.sub(r"&(?:#([0-9]+)|#[xX]([0-9a-fA-F]+)|([A-Za-z]+));", one, text)
+
+
 def attributes(text: str) -> dict[str, str]:
-    return {m[1].lower(): html.unescape(next((g for g in m.groups()[1:] if g is not None), "")) for m in _ATTRIBUTE.finditer(text)}
+    return {m[1].lower(): decoded(next((g for g in m.groups()[1:] if g is not None), "")) for m in _ATTRIBUTE.finditer(text)}
 
 
 def method_of(text: str, default: str) -> str:
@@ -34,25 +53,71 @@ def method_of(text: str, default: str) -> str:
 
 def target_of(text: str) -> str:
     """A request's URL without the context path, or '' if it is external or dynamic."""
-    url = _CONTEXT.sub("", html.unescape(text).strip())
+    url = _CONTEXT.sub("", decoded(text).strip())
     url = m[1] if (m := re.match(r"<c:url\s+value\s*=\s*['\"]([^'\"]*)['\"]\s*/?>", url)) else url
     if not url or url.startswith(("#", "//", "javascript:", "mailto:")) or re.match(r"[a-z][a-z0-9+.-]*:", url, re.I) or _DYNAMIC.search(url.split("?")[0]):
         return ""
     return url.split("#")[0]
 
 
+def js_tokens(text: str) -> list[tuple[str, str, int]]:
+    """(kind, text, begin) of a script, without comments; strings and regular expressions are single tokens."""
+    out, at = [], 0
+    while at < len(text):
+        m = _JS.match(text, at)
+        kind, got = m.lastgroup, m[0]
+        before = out[-1] if out else ("op", "(", 0)
+        if got == "/" and (before[0] == "op" and before[1] not in ")]}" or before[1] in _JS_BEFORE) and (r := _JS_REGEX.match(text, at)):
+            kind, got = "regex", r[0]
+        if kind != "skip":
+            out.append((kind, got, at))
+        at += len(got)
+    return out
+
+
+def _properties(toks: list[tuple[str, str, int]], i: int) -> tuple[dict[str, str | None], int]:
+    """Properties of the object literal at i: plain strings, None for other values; the last of a name counts, and a spread makes all before it unknown. Also the token after the object."""
+    found: dict[str, str | None] = {}
+    level, name = 0, ""
+    for k in range(i, len(toks)):
+        kind, text, _ = toks[k]
+        if kind == "op" and text in "([{":
+            level += 1
+        elif kind == "op" and text in ")]}":
+            level -= 1
+            if not level:
+                return found, k + 1
+        if level == 1:
+            if text == "..." and kind == "op":
+                found = {**dict.fromkeys(found), "...": None}
+            elif kind == "op" and text == ":" and toks[k - 1][0] in ("word", "string") and toks[k - 2][1] in "{,":
+                name = toks[k - 1][1].strip("\"'")
+                value, after = toks[k + 1 : k + 2], toks[k + 2 : k + 3]
+                plain = value and value[0][0] == "string" and after and after[0][1] in ",}"
+                found[name] = value[0][1][1:-1] if plain else None
+    return found, len(toks)
+
+
 def script(out: Facts, text: str, base: int = 0) -> None:
-    """fetch, XMLHttpRequest.open and $.ajax calls whose URL is a plain string."""
-    s = blank(text, _JS_HIDDEN) if "://" not in text else re.sub(r"/\*.*?\*/", lambda m: " " * len(m[0]), text, flags=re.S)
-    for m in re.finditer(rf"\bfetch\s*\(\s*{_STRING}(?:\s*,\s*\{{([^}}]*)\}})?", s, re.S):
-        verb = re.search(r"\bmethod\s*:\s*[\"'](\w+)[\"']", m[3] or "")
-        _request(out, base + m.start(), "fetch", m[2], method_of(verb[1] if verb else "", "GET"))
-    for m in re.finditer(rf"\.open\s*\(\s*[\"'](\w+)[\"']\s*,\s*{_STRING.replace('1', '2')}", s, re.S):
-        _request(out, base + m.start(), "xhr", m[3], method_of(m[1], "GET"))
-    for m in re.finditer(r"(?:\$|jQuery)\.ajax\s*\(\s*\{(.*?)\}\s*\)", s, re.S):
-        url, verb = re.findall(rf"\burl\s*:\s*{_STRING}", m[1], re.S), re.findall(r"\b(?:type|method)\s*:\s*[\"'](\w+)[\"']", m[1])
-        if url:
-            _request(out, base + m.start(), "ajax", url[-1][1], method_of(verb[-1] if verb else "", "GET"))
+    """fetch, XMLHttpRequest.open and $.ajax calls whose URL is a plain string; comments, strings and regular expressions hold none."""
+    toks = js_tokens(text)
+    word = lambda i: toks[i][1] if 0 <= i < len(toks) and toks[i][0] in ("word", "op") else ""
+    string = lambda i: toks[i][1][1:-1] if 0 <= i < len(toks) and toks[i][0] == "string" else None
+    for i, (kind, name, at) in enumerate(toks):
+        if kind != "word" or word(i + 1) != "(":
+            continue
+        url = string(i + 2)
+        if name == "fetch" and url is not None and word(i - 1) != "function" and word(i + 3) in (",", ")"):
+            given = _properties(toks, i + 4)[0] if word(i + 3) == "," and word(i + 4) == "{" else {}
+            unknown = "method" in given and given["method"] is None or "..." in given and given.get("method") is None
+            _request(out, base + at, "fetch", url, "" if unknown else method_of(given.get("method") or "", "GET"))
+        elif name == "open" and word(i - 1) == "." and url is not None and word(i + 3) == "," and (target := string(i + 4)) is not None and word(i + 5) in (",", ")"):
+            _request(out, base + toks[i - 1][2], "xhr", target, method_of(url, "GET"))
+        elif name == "ajax" and word(i - 1) == "." and word(i - 2) in ("$", "jQuery") and word(i + 2) == "{":
+            given, _ = _properties(toks, i + 2)
+            verb = next((given[k] for k in reversed(given) if k in ("type", "method")), None if "..." in given else "")
+            if given.get("url"):
+                _request(out, base + toks[i - 2][2], "ajax", given["url"], "" if verb is None else method_of(verb, "GET"))
 
 
 def _request(out: Facts, at: int, kind: str, url: str, verb: str) -> None:
@@ -118,7 +183,7 @@ def parse(text: str) -> Facts:
             value = a.get("value", "")
             out.add("field", m.start(), name=field, type=kind, default="" if _DYNAMIC.search(value) else value, runtime=bool(_DYNAMIC.search(value)), disabled="disabled" in a, form=inside[2]["form"] if inside else "", url=inside[2]["url"] if inside else "")
     plain = re.sub(r"<%.*?%>|<[^>]+>", "\n", re.sub(r"\$\{[^}]*\}", " ", shown), flags=re.S)
-    words = [w for w in (html.unescape(re.sub(r"\s+", " ", x)).strip() for x in plain.split("\n")) if any(c.isalnum() for c in w)]
+    words = [w for w in (decoded(re.sub(r"\s+", " ", x)).strip() for x in plain.split("\n")) if any(c.isalnum() for c in w)]
     if words:
         out.add("text", 0, text=list(dict.fromkeys(words)))
     return out
