@@ -23,8 +23,8 @@ def test_stages(spark):
     assert not short & set(texts)
     missed = [i for i, r in labels.items() if r.quality == 1 and i not in short and i not in texts]
     assert len(missed) <= 0.05 * len(labels)
-    sets = {i: brute.shingles(t) for i, t in texts.items()}
-    want = brute.roots(sets, brute.similar(sets))
+    sets = {i: brute.shingles(t, 5) for i, t in texts.items()}
+    want = brute.roots(sets, brute.similar(sets, 80))
     assert sorted(r.doc_id for r in once.collect()) == sorted({r for r in want.values()})
     before, after = ({r.doc_id: r.text for r in df.collect()} for df in (once, clean))
     assert before.keys() == after.keys() and all(a == before[i] or "[SECRET]" in a for i, a in after.items())

@@ -8,27 +8,48 @@ from pyspark.sql import functions as F
 
 from .common import drop, numbered, save, sent, table
 
-#: A cut's order key has 52 bits (20 of the dimension, 32 of the tie), found 13 bits a pass: a node has 8192 sums a pass at most, whatever the input.
-DIGITS, BITS = 4, 13
+#: A cut's order key has 52 bits (20 of the dimension, 32 of the tie), found 18 bits a pass: a node has 262,144 sums a pass at most, whatever the input.
+DIGITS, BITS = 3, 18
 #: A cut moves to the nearer edge of a group of equal keys if that shifts at most this share of a leaf.
 SNAP = 0.005
 
 
-def _crossing(rows: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
-    """node, at, before, group for each node of nodes (node, goal): the value of key where the node's running weight reaches its goal, the weight before it and its own.
+#: Nodes that a level may have at most for their table to pass through the driver; tables of more are written.
+FEW = 4096
+
+
+def _hold(df: DataFrame, nodes: int) -> DataFrame:
+    """A table with one row a node, of which there are `nodes` at most, evaluated once."""
+    if nodes > FEW:
+        return save(df, "nodes")
+    value = lambda v: "null" if v is None else f"double('{v!r}')" if isinstance(v, float) else f"'{v}'" if isinstance(v, str) else str(v)
+    rows = [f"({', '.join(map(value, r))})" for r in df.collect()]
+    names = ", ".join(df.columns)
+    typed = ", ".join(f"cast({f.name} as {f.dataType.simpleString()}) as {f.name}" for f in df.schema)
+    none = f"({', '.join(['null'] * len(df.columns))})"
+    return df.sparkSession.sql(f"SELECT {typed} FROM VALUES {', '.join(rows) or none} AS t({names}){'' if rows else ' WHERE false'}")
+
+
+def _small(df: DataFrame, nodes: int) -> DataFrame:
+    return F.broadcast(df) if nodes <= FEW else sent(df)
+
+
+def _crossing(rows: DataFrame, nodes: DataFrame, key: str, n: int) -> DataFrame:
+    """node, goal, at, before, group for each of the n nodes at most (node, goal): the value of key where the node's running weight reaches its goal, the weight before it and its own.
 
     One digit a pass: rows that agree with the digits found so far are summed by the next one, and a
-    window over a node's sums finds where they cross. The nodes' table is sent where its rows are few.
+    window over a node's sums finds where they cross.
     """
     state = nodes.select("node", "goal", F.lit(0).cast("long").alias("at"), F.lit(0).cast("long").alias("before"), F.lit(0).cast("long").alias("group"))
     order = W.partitionBy("node").orderBy("digit")
     for d in range(DIGITS):
         shift = BITS * (DIGITS - 1 - d)
-        inside = rows.select("node", "weight", key).join(sent(state), "node").where(F.shiftright(key, shift + BITS) == F.col("at"))
+        inside = rows.select("node", "weight", key).join(_small(state, n), "node").where(F.shiftright(key, shift + BITS) == F.col("at"))
         sums = inside.groupBy("node", "goal", "before", F.shiftright(key, shift).alias("digit")).agg(F.sum("weight").alias("w"))
         run = sums.withColumn("up_to", F.col("before") + F.sum("w").over(order)).withColumn("final", F.lead("digit").over(order).isNull())
-        first = run.where((F.col("up_to") >= F.col("goal")) | F.col("final")).groupBy("node", "goal").agg(F.min_by(F.struct("digit", "up_to", "w"), "digit").alias("f"))
-        old, state = state, save(first.select("node", "goal", F.col("f.digit").alias("at"), (F.col("f.up_to") - F.col("f.w")).alias("before"), F.col("f.w").alias("group")), "digits")
+        # the first sum that reaches the goal, or a node's last one
+        hit = run.where(((F.col("up_to") >= F.col("goal")) & (F.col("up_to") - F.col("w") < F.col("goal"))) | (F.col("final") & (F.col("up_to") < F.col("goal"))))
+        old, state = state, _hold(hit.select("node", "goal", F.col("digit").alias("at"), (F.col("up_to") - F.col("w")).alias("before"), F.col("w").alias("group")), n)
         drop(old)
     return state
 
@@ -53,29 +74,30 @@ def kd_shards(rows: DataFrame, dims: list[str], leaves: int) -> tuple[DataFrame,
     placed = rows.withColumns({names[d]: c for d, c in scaled.items()} | {"node": F.lit(1).cast("long"), "first": F.lit(0).cast("long"), "leaves": F.lit(leaves).cast("long")})
     cuts = spark.createDataFrame([], "node long, first long, leaves long, dim string, cut long, last long")
     depth, written = max(0, (leaves - 1).bit_length()), None
-    for _ in range(depth):
+    for level in range(depth):
+        n = min(leaves, 2**level)  # nodes of this level at most
         span = [F.struct((F.max(names[d]) - F.min(names[d])).alias("span"), F.lit(d).alias("dim")) for d in dims]
         found = placed.where("leaves > 1").groupBy("node", "first", "leaves").agg(F.sum("weight").alias("w"), F.greatest(*span)["dim"].alias("dim") if len(dims) > 1 else F.lit(dims[0]).alias("dim"))
         half = F.floor(F.col("leaves") / 2)
-        nodes = save(found.select("node", "first", "leaves", "dim", (F.col("w") * half / F.col("leaves")).alias("goal"), (F.col("w") / F.col("leaves") * SNAP).alias("slack")), "nodes")
+        nodes = _hold(found.select("node", "first", "leaves", "dim", (F.col("w") * half / F.col("leaves")).alias("goal"), (F.col("w") / F.col("leaves") * SNAP).alias("slack")), n)
         if nodes.isEmpty():
             break
         own = F.coalesce(*(F.when(F.col("dim") == d, F.col(names[d])) for d in dims))
-        keyed = placed.where("leaves > 1").select("node", "weight", "tie", "last", *names.values()).join(sent(nodes.select("node", "dim")), "node")
-        keyed = save(keyed.select("node", "weight", "last", F.shiftleft(own, 32).bitwiseOR(F.col("tie")).alias("key")), "keyed")
-        at = _crossing(keyed, nodes.select("node", "goal"), "key")
+        keyed = placed.where("leaves > 1").select("node", "weight", "tie", "last", *names.values()).join(_small(nodes.select("node", "dim"), n), "node")
+        keyed = keyed.select("node", "weight", "last", F.shiftleft(own, 32).bitwiseOR(F.col("tie")).alias("key"))
+        at = _crossing(keyed, nodes.select("node", "goal"), "key", n)
         under, over = F.col("goal") - F.col("before"), F.col("before") + F.col("group") - F.col("goal")
         edge = at.join(nodes.select("node", "slack"), "node").withColumn("last", F.when(under < over, F.lit(-1)).otherwise(F.lit(1 << 52)).cast("long")).withColumn("deep", F.least(under, over) > F.col("slack"))
-        edge = save(edge, "edge")
+        edge = _hold(edge, n)
         deep = edge.where("deep")
         if not deep.isEmpty():  # a group of equal keys is too large to stay together
-            group = keyed.join(sent(save(deep.select("node", F.col("at").alias("cut"), (F.col("goal") - F.col("before")).alias("goal")), "deep")), "node").where("key = cut").select("node", "weight", "last")
-            inner = _crossing(group, deep.select("node", (F.col("goal") - F.col("before")).alias("goal")), "last")
+            group = keyed.join(_small(_hold(deep.select("node", F.col("at").alias("cut")), n), n), "node").where("key = cut").select("node", "weight", "last")
+            inner = _crossing(group, deep.select("node", (F.col("goal") - F.col("before")).alias("goal")), "last", n)
             inner = inner.select("node", F.when(under < over, F.col("at") - 1).otherwise(F.col("at")).alias("inner"))
             edge = edge.join(inner, "node", "left").withColumn("last", F.coalesce("inner", "last"))
-        table_ = save(nodes.join(edge.select("node", F.col("at").alias("cut"), "last"), "node").select("node", "first", "leaves", "dim", "cut", "last"), "cuts")
+        table_ = _hold(nodes.join(edge.select("node", F.col("at").alias("cut"), "last"), "node").select("node", "first", "leaves", "dim", "cut", "last"), n)
         cuts = cuts.unionByName(table_)
-        side = sent(table_.select("node", "dim", "cut", F.col("last").alias("_last")))
+        side = _small(table_.select("node", "dim", "cut", F.col("last").alias("_last")), n)
         key = F.shiftleft(own, 32).bitwiseOR(F.col("tie"))
         left = (key < F.col("cut")) | ((key == F.col("cut")) & (F.col("last") <= F.col("_last")))
         step = placed.join(side, "node", "left").withColumn("_left", F.when(F.col("dim").isNotNull(), left)).withColumn("_half", F.floor(F.col("leaves") / 2))
@@ -87,7 +109,6 @@ def kd_shards(rows: DataFrame, dims: list[str], leaves: int) -> tuple[DataFrame,
         before, written = written, save(step.withColumns(moved).select(placed.columns), "kd")
         placed = written
         drop(before)
-        drop(keyed)
     return placed.withColumn("shard", F.col("first").cast("int")).drop("node", "first", "leaves", *names.values()), cuts
 
 
