@@ -475,9 +475,10 @@ def _by_part(column: int) -> str:
 
 @query(f"SELECT p_partkey, {_by_part(2)} AS writes, {_by_part(3)} AS reads FROM part")
 def sql_table_lineage(spark, d):
-    # a literal's doubled quotes are Spark's escape \\'
-    as_spark = lambda c: F.expr(_by_part(c).replace("''FROM no''", "\\\\'FROM no\\\\'"))
-    p = star.read(spark, d, "part").select("p_partkey", as_spark(0).alias("kind"), as_spark(1).alias("sql"))
+    n, k = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+    filled = lambda text: F.replace(F.replace(F.lit(text.replace("''", "'")), F.lit("{n}"), n), F.lit("{k}"), k)
+    by_part = lambda c: F.coalesce(*(F.when(F.col("p_partkey") % len(_STATEMENTS) == i, filled(x[c])) for i, x in enumerate(_STATEMENTS)))
+    p = star.read(spark, d, "part").select("p_partkey", by_part(0).alias("kind"), by_part(1).alias("sql"))
     found = p.select("p_partkey", tx.sql_tables("sql", "kind").alias("t"))
     return found.select("p_partkey", F.array_join("t.writes", ",").alias("writes"), F.array_join("t.reads", ",").alias("reads"))
 
