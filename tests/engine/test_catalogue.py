@@ -2,7 +2,7 @@
 
 import re
 
-from weftline.operators import budget
+from weftline.operators import budget, match
 from weftline.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -56,3 +56,22 @@ def test_prefix_route_match_takes_patterns_of_all_pages(spark):
     firsts = {re.match("(/[^/]*)?", u)[0] + "/*" for u in url.values()}
     want = {(i, u, u) for i, u in url.items()} | {(i, u, p) for i, u in url.items() for p in firsts if u.startswith(p[:-1])}
     assert {tuple(r) for r in catalogue.prefix_route_match(spark, SF).select("page_id", "url", "pattern").collect()} == want
+
+
+def test_tiered_name_resolution_of_a_name_that_many_parts_share(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(match, "BLOCK", 16)
+    parts = [(i, "bolt" if i % 9 else f"only{i}", "b") for i in range(150)] + [(5, "only9", "c"), (None, "bolt", "n"), (200, None, "d"), (201, "twice", "e"), (201, "twice", "e"), (202, "last", None)]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(0,), (3,), (10,)], "s_suppkey long").write.parquet(f"{tmp_path}/supplier.parquet")
+    want = []
+    for ref in {r[0] for r in parts}:
+        own = [r for r in parts if r[0] == ref]
+        tiers = [[f"supplier:{ref}" for _ in own if ref in (0, 3, 10)], [f"part:{q[0]}" for r in own for q in parts if q[1] == r[1] is not None and None not in (ref, q[0]) and q[0] != ref], [r[2] and f"brand:{r[2]}" for r in own]]
+        tier = next(i for i, t in enumerate(tiers) if t)
+        want += [(ref, t, tier) for t in tiers[tier]]
+    got = catalogue.tiered_name_resolution(spark, str(tmp_path)).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+    # pairs meet in blocks: no value's rows are all dealt to one place
+    names = spark.createDataFrame([(i, "x") for i in range(400)], "ref long, name string")
+    met = match.sharing(names, names.selectExpr("name", "ref AS self", "ref AS target"), "name", "ref")
+    assert sorted(map(tuple, met.collect())) == [(a, b) for a in range(400) for b in range(400) if a != b]
