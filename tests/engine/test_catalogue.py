@@ -2,6 +2,8 @@
 
 import re
 
+import duckdb
+
 from weftline.operators import budget, match
 from weftline.plans import catalogue
 
@@ -75,3 +77,17 @@ def test_tiered_name_resolution_of_a_name_that_many_parts_share(spark, tmp_path,
     names = spark.createDataFrame([(i, "x") for i in range(400)], "ref long, name string")
     met = match.sharing(names, names.selectExpr("name", "ref AS self", "ref AS target"), "name", "ref")
     assert sorted(map(tuple, met.collect())) == [(a, b) for a in range(400) for b in range(400) if a != b]
+
+
+def test_node_merge_takes_rows_of_one_order_as_they_come(spark, tmp_path):
+    """Equal orders, missing flags and orders, several files: as the SQL gives them where DuckDB reads rows in turn."""
+    rows = [(1, 1, 1, "R", "O"), (1, 1, 1, "A", "F"), (1, 1, 2, "N", "O"), (2, 3, 1, "A", "F"), (1, 1, 1, "N", "P"), (2, 2, 1, None, "P"), (3, None, 1, "R", "O"), (3, 5, 1, "N", None), (3, None, 1, "A", "O"), (4, None, 1, "R", "F"), (2, 2, 1, "R", "O"), (2, 2, 1, "N", "F")]
+    for i, part in enumerate((rows[:7], rows[7:])):
+        spark.createDataFrame(part, "l_partkey long, l_orderkey long, l_linenumber int, l_returnflag string, l_linestatus string").selectExpr("*", "30D AS l_quantity").coalesce(1).write.parquet(f"{tmp_path}/{i}")
+        (tmp_path / "lineitem.parquet").mkdir(exist_ok=True)
+        next((tmp_path / str(i)).glob("*.parquet")).rename(tmp_path / "lineitem.parquet" / f"{i} part.parquet")
+    con = duckdb.connect(config={"threads": 1})
+    con.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    want = con.sql(catalogue.SQL["node_merge"]).fetchall()
+    assert ("part:1", "R", "O", "R,A,N") in want
+    assert sorted(map(tuple, catalogue.node_merge(spark, str(tmp_path)).collect())) == sorted(want)

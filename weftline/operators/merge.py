@@ -26,22 +26,24 @@ def ordered_union(values: str | Column, order: str | Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(rows, lambda r: r["v"])))
 
 
-def merge_nodes(df: DataFrame, order: str = "ord") -> DataFrame:
-    """One row per id: first name and type, first path that is set, evidence and search text distinct in order, data by last value of each key.
+def merge_nodes(df: DataFrame, order: str = "ord", then: tuple[str, ...] = ()) -> DataFrame:
+    """One row per id: first name and type that are set, first path that is set, evidence and search text distinct in order, data by last value of each key.
 
-    A node met once keeps its own evidence as it is; only merging removes repeats.
+    A node met once keeps its own evidence as it is; only merging removes repeats. Columns of then
+    decide between rows of one order. Rows without an order come last and give no name, type or path.
     """
-    o = F.col(order)
+    o = F.struct(F.col(order).isNull().alias("late"), order, *then)
+    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull() & F.col(order).isNotNull(), o)).alias(c)
     by_order = lambda a, b: F.when(a["o"] < b["o"], -1).when(a["o"] > b["o"], 1).otherwise(0)
     data = F.transform(F.array_sort(F.collect_list(F.struct(o.alias("o"), "data")), by_order), lambda r: F.coalesce(r["data"], F.create_map().cast("map<string,string>")))
-    once = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(o, "evidence"))), lambda r: r["evidence"]))
+    once = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(o.alias("o"), "evidence"))), lambda r: r["evidence"]))
     merged = F.aggregate(data, F.create_map().cast("map<string,string>"), lambda a, m: F.map_concat(F.map_filter(a, lambda k, _: ~F.map_contains_key(m, k)), m))
     return df.groupBy("id").agg(
-        F.min_by("name", o).alias("name"),
-        F.min_by("type", o).alias("type"),
-        F.min_by("file_path", F.when(F.col("file_path").isNotNull(), o)).alias("file_path"),
+        first("name"),
+        first("type"),
+        first("file_path"),
         F.when(F.count(F.lit(1)) == 1, once).otherwise(F.array_distinct(once)).alias("evidence"),
-        ordered_union("search_text", order).alias("search_text"),
+        ordered_union("search_text", o).alias("search_text"),
         merged.alias("data"),
     )
 

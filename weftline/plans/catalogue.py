@@ -66,11 +66,11 @@ def node_last_wins(spark, d):
   SELECT 'part:' || CAST(l_partkey AS VARCHAR) AS id, arg_min(l_returnflag, ord) AS name, arg_min(l_linestatus, CASE WHEN l_quantity > 25 THEN ord END) AS path, list(l_returnflag ORDER BY ord) AS k FROM (SELECT *, l_orderkey * 10 + l_linenumber AS ord FROM lineitem) GROUP BY l_partkey) t,
   LATERAL (SELECT list(x ORDER BY p) AS kinds FROM (SELECT x, min(p) AS p FROM (SELECT unnest(t.k) AS x, generate_subscripts(t.k, 1) AS p) GROUP BY x)) u""")
 def node_merge(spark, d):
-    rows = star.read(spark, d, "lineitem").select(
+    rows = star.read_placed(spark, d, "lineitem").select(
         F.concat(F.lit("part:"), F.col("l_partkey").cast("string")).alias("id"), F.lit("part").alias("type"), F.col("l_returnflag").alias("name"), F.when(F.col("l_quantity") > 25, F.col("l_linestatus")).alias("file_path"),
-        F.array("l_returnflag").alias("evidence"), F.array("l_returnflag").alias("search_text"), F.create_map(F.lit("flag"), F.col("l_returnflag")).alias("data"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"),
+        F.array("l_returnflag").alias("evidence"), F.array("l_returnflag").alias("search_text"), F.create_map(F.lit("flag"), F.col("l_returnflag")).alias("data"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"), "file", "row",
     )
-    return merge.merge_nodes(rows).select("id", "name", F.col("file_path").alias("path"), F.array_join("search_text", ",").alias("kinds"))
+    return merge.merge_nodes(rows, then=("file", "row")).select("id", "name", F.col("file_path").alias("path"), F.array_join("search_text", ",").alias("kinds"))
 
 
 @query("SELECT l_orderkey, string_agg(CAST(p AS VARCHAR), ',' ORDER BY o, p) AS parts FROM (SELECT l_orderkey, l_partkey AS p, min(l_linenumber) AS o FROM lineitem GROUP BY 1, 2) GROUP BY l_orderkey")

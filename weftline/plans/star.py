@@ -15,6 +15,13 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def read_placed(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The table with each row's place in it, file (where there are several) and row."""
+    df = read(spark, sf_dir, name)
+    file = F.col("_metadata.file_path") if len(df.inputFiles()) > 1 else F.lit("")
+    return df.withColumns({"file": file, "row": F.col("_metadata.row_index")})
+
+
 # node type, table, key, name column
 NODES = (
     ("region", "region", "r_regionkey", "r_name"),
