@@ -76,3 +76,24 @@ def test_words_sum_to_one(spark):
     assert h.score(empty).count() == 0
     none = h.score(docs.selectExpr("doc_id", "text", "false as train")).collect()
     assert len(none) == 80 and all(math.isfinite(r.score) and r.n_known == 0 for r in none)
+
+
+def test_states_start_from_all_documents(spark):
+    """Without a Baum-Welch round the model is the start alone; it knows every document's own word."""
+    docs = spark.createDataFrame([(i, f"own{i} " * 20, True) for i in range(3000)], "doc_id long, text string, train boolean")
+    got = h.score(docs, states=2, rounds=0).collect()
+    assert len(got) == 3000 and all(r.score > r.base_score - 10 for r in got)
+
+
+def test_cluster_counts_match_a_plain_sum(monkeypatch):
+    monkeypatch.setattr(h, "BATCH_TOKENS", 7)
+    rng = np.random.default_rng(3)
+    seqs = [rng.integers(0, 9, n) for n in (1, 12, 5, 5, 3)]
+    emit, share = np.log(rng.random((9, 3))), np.log(rng.random(3))
+    docs, counts = np.zeros(3), np.zeros((9, 3))
+    for s in seqs:
+        k = int((emit[s].sum(0) + share).argmax())
+        docs[k] += 1
+        np.add.at(counts[:, k], s, 1)
+    got = h.cluster_counts(emit, share, seqs)
+    assert np.array_equal(got[0], docs) and np.array_equal(got[1], counts)

@@ -23,8 +23,8 @@ STATES, WORDS, CLASSES = 8, 4096, 128
 KNOWN = 1 << 17
 #: Steps of the logarithmic scale that finds the least count of a known word, for each doubling.
 FINE = 16
-#: Documents, about, on which the driver starts the states, and rounds there; and rounds over all training documents.
-START_DOCS, START_ROUNDS, ROUNDS = 1000, 4, 2
+#: Rounds over all training documents that place documents in clusters after each doubling of these, and Baum-Welch rounds.
+START_ROUNDS, ROUNDS = 3, 2
 BATCH_TOKENS = 1_000_000
 ADD = 0.1
 _LOW = np.arange(256, dtype=np.uint64)
@@ -159,24 +159,50 @@ def expected_long(model: Hmm, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return start, move, emit
 
 
-def begin_states(sequences: list[np.ndarray], states: int, rounds: int, symbols: int) -> Hmm:
-    """A first model: states from clusters of documents by their symbols, then a few rounds of Baum-Welch."""
-    hist = np.stack([np.bincount(s, minlength=symbols) for s in sequences]).astype(float)
-    x = np.sqrt(hist / hist.sum(1, keepdims=True))
-    centre = [x.mean(0)]
-    while len(centre) < states:
-        centre.append(x[np.argmin((x @ np.array(centre).T).max(1))])
-    c = np.array(centre)
-    for _ in range(10):
-        own = (x @ c.T).argmax(1)
-        c = np.array([x[own == j].mean(0) if (own == j).any() else c[j] for j in range(states)])
-        c /= np.linalg.norm(c, axis=1, keepdims=True)
-    total = hist.sum(0)
-    emit = np.stack([hist[own == j].sum(0) for j in range(states)], 1) + 50 * (total / total.sum())[:, None] * np.random.default_rng(1).uniform(0.8, 1.2, (symbols, states))
-    model = Hmm.of_counts(np.bincount(own, minlength=states).astype(float), 20 * np.eye(states) + 1, emit)
-    for _ in range(rounds):
-        model = Hmm.of_counts(*expected(model, sequences))
-    return model
+def cluster_counts(log_emit: np.ndarray, log_share: np.ndarray, sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Documents and symbol counts (symbols x clusters) by the likeliest cluster of each sequence's symbols (none is empty)."""
+    k = log_emit.shape[1]
+    docs, counts = np.zeros(k), np.zeros(log_emit.size)
+    for rows, n in _packed(sequences):
+        at = np.concatenate([[0], np.cumsum(n)[:-1]])
+        own = (np.add.reduceat(log_emit[rows], at, axis=0) + log_share).argmax(1)
+        docs += np.bincount(own, minlength=k)
+        counts += np.bincount(rows * k + np.repeat(own, n), minlength=len(counts))
+    return docs, counts.reshape(log_emit.shape)
+
+
+def _packed(sequences: list[np.ndarray]):
+    """Symbols of runs of sequences, one after another, and their lengths."""
+    for part in _runs(sequences, BATCH_TOKENS):
+        yield np.concatenate(part), np.array([len(x) for x in part])
+
+
+def doubled(counts: np.ndarray, docs: np.ndarray, states: int, turn: int) -> tuple[np.ndarray, np.ndarray]:
+    """Twice the clusters, states at most: the largest are split into two that lean to one half of the symbols each."""
+    k = counts.shape[1]
+    more = np.argsort(-counts.sum(0), kind="stable")[: states - k]
+    lean = np.random.default_rng(turn).uniform(0.5, 1.5, (len(counts), len(more)))
+    split = counts.copy()
+    split[:, more] = counts[:, more] * lean
+    docs = docs.copy()
+    docs[more] /= 2
+    return np.concatenate([split, counts[:, more] * (2 - lean)], 1), np.concatenate([docs, docs[more]])
+
+
+def begin_states(total: np.ndarray, states: int, count) -> Hmm:
+    """A first model: states from clusters of all documents by their symbols, which double from one up. total has each symbol's count; count(log_emit, log_share) sums cluster_counts over all documents."""
+    docs, counts = np.ones(1), total[:, None].astype(float)
+    share = total / max(1.0, total.sum())
+    back = lambda c: c + (0.02 * c.sum(0) + 1.0) * share[:, None]
+    turn = 0
+    while counts.shape[1] < states:
+        turn += 1
+        counts, docs = doubled(counts, docs, states, turn)
+        for _ in range(START_ROUNDS):
+            emit = back(counts) + 1e-3
+            docs, counts = count(np.log(emit / emit.sum(0)), np.log((docs + 1) / (docs + 1).sum()))
+    near = 50 * share[:, None] * np.random.default_rng(1).uniform(0.8, 1.2, (len(total), states))
+    return Hmm.of_counts(docs, 20 * np.eye(states) + 1, counts + near)
 
 
 def _count_words(docs: DataFrame) -> DataFrame:
@@ -212,8 +238,8 @@ def _count_words(docs: DataFrame) -> DataFrame:
 def score(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, words: int = WORDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; docs has doc_id, text and train (boolean).
 
-    Word counts, class totals and Baum-Welch counts are sums over all training documents. The states
-    start from a bounded sample on the driver. Scores cover whole texts; a null or empty text is the
+    Word counts, class totals, the clusters that states start from and Baum-Welch counts are sums over
+    all training documents. Scores cover whole texts; a null or empty text is the
     end alone. Repeated rows count and score each. Without training documents both scores follow from
     smoothing alone. Tasks hold KNOWN words' counts at most; other words are joined by hash. words: how
     many words have symbols of their own (65,000 at most); the rest share their classes' symbols.
@@ -277,33 +303,35 @@ def score(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, words: in
     coded = save(docs.mapInArrow(encode, schema).withColumn("row_id", F.monotonically_increasing_id()), "coded")
     known.destroy()
 
-    scale = 1 << 20
-    share = min(scale, -(-scale * START_DOCS // max(1, ends)))
-    sample = coded.where("train").where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(scale)) < share).groupBy("doc_id").agg(F.min("symbols").alias("s")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * START_DOCS)
-    started = [np.frombuffer(r["s"], "<u2").astype(np.int64) for r in sample.collect()]
-    model = begin_states(started, states, START_ROUNDS, symbols) if started else Hmm.of_counts(np.zeros(states), np.zeros((states, states)), np.zeros((symbols, states)))
+    def summed(task, send, size: int) -> np.ndarray:
+        """The sums that a task of a broadcast makes of the training documents' symbols, over all of them."""
+        sent = spark.sparkContext.broadcast(send)
 
-    def e_step(send):
         def run(batches):
-            now = send.value
-            total = [np.zeros(states), np.zeros((states, states)), np.zeros((symbols, states))]
+            flat = np.zeros(size)
             for b in batches:
                 for part in _runs([np.frombuffer(x, "<u2").astype(np.int64) for x in b.column("symbols").to_pylist()]):
-                    for t, x in zip(total, expected(now, part), strict=True):
-                        t += x
-            flat = np.concatenate([t.ravel() for t in total])
+                    flat += np.concatenate([t.ravel() for t in task(sent.value, part)])
             some = np.flatnonzero(flat)
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(flat[some])], names=["at", "v"])
 
-        return run
+        got = coded.where("train").select("symbols").mapInArrow(run, "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).toPandas()
+        sent.destroy()
+        flat = np.zeros(size)
+        flat[got["at"].to_numpy(np.int64)] = got["v"].to_numpy(float)
+        return flat
+
+    def by_cluster(log_emit: np.ndarray, log_share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        k = len(log_share)
+        flat = summed(lambda sent, part: cluster_counts(*sent, part), (log_emit, log_share), k + log_emit.size)
+        return flat[:k], flat[k:].reshape(log_emit.shape)
 
+    total = np.concatenate([np.zeros(words), by_class[:, 0], [ends]])
+    total[: len(own)] = own["c"].to_numpy(float)
+    model = begin_states(total, states, by_cluster) if ends else Hmm.of_counts(np.zeros(states), np.zeros((states, states)), np.zeros((symbols, states)))
     for _ in range(rounds if ends else 0):
-        sent = spark.sparkContext.broadcast(model)
-        got = coded.where("train").select("symbols").mapInArrow(e_step(sent), "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).toPandas()
-        flat = np.zeros(states + states * states + symbols * states)
-        flat[got["at"].to_numpy(np.int64)] = got["v"].to_numpy(float)
+        flat = summed(expected, model, states + states * states + symbols * states)
         start, move, emit = np.split(flat, [states, states + states * states])
-        sent.destroy()
         model = Hmm.of_counts(start, move.reshape(states, states), emit.reshape(symbols, states))
     final = spark.sparkContext.broadcast(model)
 
