@@ -3,6 +3,7 @@
 import re
 
 import duckdb
+from pyspark.sql import functions as F
 
 from weftline.operators import budget, match
 from weftline.plans import catalogue
@@ -79,6 +80,24 @@ def test_tiered_name_resolution_of_a_name_that_many_parts_share(spark, tmp_path,
     assert sorted(map(tuple, met.collect())) == [(a, b) for a in range(400) for b in range(400) if a != b]
 
 
+def test_sharing_deals_the_pairs_of_few_rows_and_of_repeats_over_all_parts(spark, monkeypatch):
+    monkeypatch.setattr(match, "BLOCK", 16)
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "12")
+    try:
+        names = spark.createDataFrame([(i, "x") for i in range(200)], "ref long, name string")
+        repeats = spark.createDataFrame([("x", 7, f"part:{i % 3}") for i in range(400)], "name string, self long, target string")
+        for known, n in ((names.selectExpr("name", "ref AS self", "concat('part:', ref) AS target"), 200 * 199), (repeats, 199 * 400)):
+            # one block of asks: only the blocks of known can spread its pairs
+            met = match.sharing(names, known, "name", "ref").withColumn("at", F.spark_partition_id()).collect()
+            assert len(met) == n and len({r.at for r in met}) > 6
+            one = match.sharing(names.where("ref = 3"), known, "name", "ref").withColumn("at", F.spark_partition_id()).collect()
+            assert len(one) == (400 if known is repeats else 199) and len({r.at for r in one}) > 4
+        assert sorted(r.target for r in one) == sorted(f"part:{i % 3}" for i in range(400))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+
+
 def test_node_merge_takes_rows_of_one_order_as_they_come(spark, tmp_path):
     """Equal orders, missing flags and orders, several files: as the SQL gives them where DuckDB reads rows in turn."""
     rows = [(1, 1, 1, "R", "O"), (1, 1, 1, "A", "F"), (1, 1, 2, "N", "O"), (2, 3, 1, "A", "F"), (1, 1, 1, "N", "P"), (2, 2, 1, None, "P"), (3, None, 1, "R", "O"), (3, 5, 1, "N", None), (3, None, 1, "A", "O"), (4, None, 1, "R", "F"), (2, 2, 1, "R", "O"), (2, 2, 1, "N", "F")]
